@@ -86,12 +86,22 @@ class ItemIndex:
         self.weight = np.array([p[2] for p in postings], dtype=np.float64)
         self.start = np.searchsorted(self.term, np.arange(v + 1))
         self.key = self.term * max(n, 1) + self.item
+        self.table = None
+        if n * v <= 1 << 24:  # else looked up in the sorted postings
+            self.table = np.zeros(n * v, dtype=np.float32)
+            self.table[self.key] = self.weight
         self.bound = np.zeros(v)
         np.maximum.at(self.bound, self.term, self.weight)
         self.block_bound = np.zeros((v, -(-n // BLOCK) or 1))
         np.maximum.at(self.block_bound, (self.term, self.item // BLOCK), self.weight)
         self.bigrams = [np.unique(w[:-1] * v + w[1:]) for w in self.items]
 
+    def weights(self, key: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[key]
+        slot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[slot] == key, self.weight[slot], 0.0)
+
     def search(self, passage: np.ndarray, term: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (passage, item, share) of at least the given share.
 
@@ -124,8 +134,7 @@ class ItemIndex:
             at = np.arange(size.sum()) + np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size)
             owner = np.repeat(np.arange(len(live_p)), size)
             key = few_t[at] * self.n + live_k[owner]
-            slot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            total = total + np.bincount(owner, weights=np.where(self.key[slot] == key, self.weight[slot], 0.0), minlength=len(live_p))
+            total = total + np.bincount(owner, weights=self.weights(key), minlength=len(live_p))
         hit = total >= least
         return live_p[hit], live_k[hit], total[hit]
 
@@ -189,10 +198,17 @@ def outside(found: list[tuple[int, int, int]], used: tuple[int, int, int, int, i
     return out
 
 
-def covered(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
-    """Share of the item's words in the best one or two stretches, how many, and where they begin."""
+def covered(item: np.ndarray, text: np.ndarray, least: float = 0.0) -> tuple[float, int, int]:
+    """Share of the item's words in the best one or two stretches, how many, and where they begin.
+
+    Shares below least may come out as 0.
+    """
     found = runs(item, text)
-    if not found:
+    marks = np.zeros(len(item) + 1, dtype=np.int64)
+    for i, _, n in found:
+        marks[i] += 1
+        marks[i + n] -= 1
+    if not found or (np.cumsum(marks[:-1]) > 0).sum() < least * len(item):
         return 0.0, 0, 0
     one = stretch(found)
     rest = outside(found, one)
@@ -234,7 +250,7 @@ def _search(shared, threshold: float, coverage: float):
             slot = np.minimum(np.searchsorted(pairs, index.bigrams[k]), len(pairs) - 1)
             if (pairs[slot] == index.bigrams[k]).sum() < BIGRAMS * coverage * len(index.bigrams[k]):
                 continue
-            share, n, first = covered(index.items[k], ids)
+            share, n, first = covered(index.items[k], ids, coverage)
             if share >= coverage:
                 marked = set(ids.tolist())
                 question = index.questions[k]
