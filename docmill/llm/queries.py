@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import leakage, packing, splitting, survivors
+from docmill.llm import leakage, linking, packing, splitting, survivors
 from docmill.session import table
 
 #: Words in a tree node and in a whole Markdown file, and the overlap of consecutive pieces.
@@ -46,6 +46,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_survivors(spark, sf_dir).where("dominates").select("case_id", "group_id", "candidate_id")
 
 
+def _unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "candidate_entities").where("group_id is null").select("candidate_id", "case_id", "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows that name the same person or firm in different spellings."""
+    return linking.linked(_unresolved(spark, sf_dir))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of each row of the cases not yet resolved; null for what is neither person nor firm."""
+    rows = _unresolved(spark, sf_dir)
+    return rows.join(linking.entities(rows), ["case_id", "text"], "left").select("candidate_id", "case_id", "entity")
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -68,7 +83,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_survivors, p6_containers, p6_usage, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_survivors, p6_containers, p6_usage, p7_found, p7_leaks)}
 
 
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
