@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import leakage, linking, packing, splitting, survivors
+from docmill.llm import leakage, linking, packing, splitting, subjects, survivors
 from docmill.session import table
 
 #: Words in a tree node and in a whole Markdown file, and the overlap of consecutive pieces.
@@ -43,7 +43,7 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with one row that no other row beats, and that row."""
-    return p4_survivors(spark, sf_dir).where("dominates").select("case_id", "group_id", "candidate_id")
+    return p4_survivors(spark, sf_dir).where("dominates and (canonical_name is not null or n_names = 0)").select("case_id", "group_id", "candidate_id")
 
 
 def _unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +82,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def _subject_inputs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, x) for x in ("documents", "subject_areas", "subject_labels")]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of each document."""
+    return subjects.subjects(*_subject_inputs(spark, sf_dir))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject, in sentences."""
+    parts = subjects.composition(*_subject_inputs(spark, sf_dir)).where("sentences > 0")
+    return parts.groupBy("subject_name").agg(F.sum("sentences").alias("sentences"), F.count("*").alias("documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_survivors, p6_containers, p6_usage, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_survivors, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_composition)}
 
 
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -189,7 +189,7 @@ def survivors(candidates: DataFrame, groups: DataFrame | None = None) -> DataFra
     order = [F.col("usable"), F.col("conf"), F.col("at"), (-F.col("candidate_id")).alias("id")]
     pick = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("v"))))["v"]
     best = rows.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"), F.max(F.struct(*order)).alias("top"), F.max("conf").alias("most_conf"), F.max("at").alias("last"),
+        F.count("*").alias("n_rows"), F.count("name").alias("n_names"), F.max(F.struct(*order)).alias("top"), F.max("conf").alias("most_conf"), F.max("at").alias("last"),
         *[pick(c).alias(c) for c in ("pdf", "page", "line", "context")],
     )
     names = rows.select(*keys, F.col("name").alias("value"), (F.greatest(F.col("conf"), F.lit(0.0)) + 0.05 * F.col("usable") + 0.05).alias("w")).where("value is not null")
@@ -197,7 +197,7 @@ def survivors(candidates: DataFrame, groups: DataFrame | None = None) -> DataFra
     out = best.join(agreed, keys, "left")
     floor = F.lit("0001-01-01").cast("timestamp")
     out = out.select(
-        *keys, "n_rows", (-F.col("top.id")).alias("candidate_id"), F.col("survivor").alias("canonical_name"), "consensus", F.col("pdf").alias("source_pdf"), F.col("page").alias("source_page"), F.col("line").alias("source_line"), "context",
+        *keys, "n_rows", "n_names", (-F.col("top.id")).alias("candidate_id"), F.col("survivor").alias("canonical_name"), "consensus", F.col("pdf").alias("source_pdf"), F.col("page").alias("source_page"), F.col("line").alias("source_line"), "context",
         F.when(F.col("most_conf") >= 0, F.col("most_conf")).alias("confidence"), F.when(F.col("last") > floor, F.col("last")).alias("extracted_at"),
         ((F.col("top.conf") == F.col("most_conf")) & (F.col("top.at") == F.col("last"))).alias("dominates"),
     )
