@@ -21,7 +21,7 @@ seed; a sentence of a single word counts with the next; names are no evidence of
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +35,10 @@ from docmill.session import materialize
 
 OTHER = "universal"
 LABELS = 50_000
-MIN_SHARE, MIN_DOCS, MAX_SHARE = 0.0005, 3, 0.3
-PASSES, INNER = 8, 3
+MIN_SHARE, MIN_DOCS, MAX_SHARE = 0.0005, 3, 0.08
+PASSES, INNER = 6, 2
+#: Documents worked through at once, so that their part of the matrix stays in the cache.
+AT_ONCE = 250
 PRIOR = 0.3
 DECIDED, ENOUGH, SHARE = 0.5, 0.9, 0.2
 LANGUAGES = ["en", "es", "fr"]
@@ -72,7 +74,9 @@ TERMS = {
 #: What ends in a full stop without ending a sentence.
 ABBREVIATIONS = set("rs no nos mr mrs ms dr smt shri adv prof hon ltd pvt co v vs exh art sec para st ors inr sri esq capt bros".split())
 ENDS = re.compile(r"[.!?]+[\"')\]]*(?=\s)|\n\s*\n|\n(?=\s*[-*•(#\d])")
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: Words of three letters or more without a capital in front.
+LOWER = re.compile(r"(?<![\w'’-])[^\W\d_A-ZÀ-ÖØ-Þ](?:[^\W\d_]|['’-](?=[^\W\d_])){2,}")
+FIRST = re.compile(r"[^\w]*([^\W\d_])[\w'’-]*(?:[^\w]+(?:[^\W_A-ZÀ-ÖØ-Þ]|$)|[^\w]*$)")
 DOTTED = re.compile(r"(?:\w\.)+\w?")
 
 
@@ -94,55 +98,105 @@ def sentences(text: str) -> list[str]:
     return [*out, part] if part else out
 
 
-def terms(sentence: str) -> list[str]:
-    """Lower-case words and pairs of neighbours; names, by their capitals, are left out."""
-    words = WORD.findall(sentence)
-    shout = sentence.isupper()
-    out = []
-    for i, w in enumerate(words):
-        if len(w) < 3 or w[0].isupper() and not shout and (i or len(words) > 1 and words[1][0].isupper()):
-            continue
-        out.append(w.lower())
-    return out + [f"{a}_{b}" for a, b in zip(out, out[1:], strict=False)]
+def words(sentence: str) -> list[str]:
+    """Lower-case words; names, by their capitals, are left out."""
+    if sentence.isupper():
+        sentence = sentence.lower()
+    else:  # the first word is a name only if the next one has a capital too
+        first = FIRST.match(sentence)
+        if first:
+            at = first.start(1)
+            sentence = sentence[at].lower() + sentence[at + 1 :]
+    return LOWER.findall(sentence)
+
+
+class Codes(dict):
+    """A word's number, remembered; the number depends on the word alone."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = code = zlib.crc32(word.encode()) & 0x7FFFFFFF
+        return code
 
 
-def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter[str] = Counter()
-    docs = 0
+def pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs of neighbours, above those of single words."""
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed ^= mixed >> np.uint64(29)
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(24)).astype(np.int64) + (1 << 31)
 
-    def flush() -> pd.DataFrame:
-        frame = pd.DataFrame({"term": [*seen, ""], "n": [*seen.values(), docs]})
-        seen.clear()
-        return frame
 
+def code_of(term: str) -> int:
+    """The number of a word, or of a pair joined by _."""
+    first, _, second = term.partition("_")
+    codes = Codes()
+    return int(pair_codes(np.array([codes[first]]), np.array([codes[second]]))[0]) if second else codes[first]
+
+
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    codes = Codes()
     for batch in batches:
-        for text in batch["text"]:
-            if text:
-                docs += 1
-                seen.update({t for s in sentences(text) for t in terms(s)})
-        if len(seen) > 500_000:  # bounds memory; the counts add up
-            yield flush()
-            docs = 0
-    yield flush()
-
-
-def _rows(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = shared.value.get
-        for batch in batches:
-            rows = []
-            for doc, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"], strict=True):
-                flat: list[int] = []
-                sizes: list[int] = []
-                for s in sentences(text) if text else ():
-                    found = terms(s)
-                    if found:
-                        ids = [i for i in map(get, found) if i is not None]
-                        flat += ids
-                        sizes.append(len(ids))
-                if sizes:
-                    rows.append((doc, lang, np.array(flat, dtype=np.int32), np.array(sizes, dtype=np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "ids", "sizes"])
+        rows = []
+        for doc, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"], strict=True):
+            flat: list[int] = []
+            sizes: list[int] = []
+            for s in sentences(text) if text else ():
+                found = words(s)
+                if found:
+                    flat += map(codes.__getitem__, found)
+                    sizes.append(len(found))
+            if sizes:
+                rows.append((doc, lang, np.array(flat, dtype=np.int32), np.array(sizes, dtype=np.int32)))
+        yield pd.DataFrame(rows, columns=["doc_id", "lang", "codes", "sizes"])
+
+
+def _terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words and pairs of some documents, and the sentence of each, in order of sentences."""
+    one, _ = _lists(batch, "codes")
+    one = one.astype(np.int64)
+    sizes, _ = _lists(batch, "sizes")
+    sentence = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
+    joined = sentence[1:] == sentence[:-1]
+    term = np.concatenate((one, pair_codes(one[:-1][joined], one[1:][joined])))
+    where = np.concatenate((sentence, sentence[1:][joined]))
+    order = np.argsort(where, kind="stable")
+    return term[order], where[order]
+
+
+def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        term, sentence = _terms(batch)
+        _, doc = _lists(batch, "sizes")
+        owner = doc[sentence]
+        order = np.lexsort((owner, term))
+        term, owner = term[order], owner[order]
+        first = (np.diff(term, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0)
+        term = term[first]
+        begins = np.flatnonzero(np.diff(term, prepend=-1))
+        counts = np.diff(np.append(begins, len(term)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term[begins], -1)), pa.array(np.append(counts, batch.num_rows))], names=["term", "n"])
+
+
+def _known(shared):
+    """Words and pairs as places in the vocabulary; unknown ones drop out, sentences stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        for batch in (b.slice(i, 4 * AT_ONCE) for b in batches for i in range(0, b.num_rows, 4 * AT_ONCE)):
+            term, sentence = _terms(batch)
+            at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
+            hit = vocabulary[at] == term
+            at, sentence = at[hit].astype(np.int32), sentence[hit]
+            sizes, doc = _lists(batch, "sizes")
+            in_sentence = np.bincount(sentence, minlength=len(sizes)).astype(np.int32)
+            ends = np.cumsum(np.bincount(doc, weights=in_sentence, minlength=batch.num_rows)).astype(np.int32)
+            cuts = np.cumsum(np.bincount(doc, minlength=batch.num_rows)).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(at))
+            sizes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], cuts)).astype(np.int32)), pa.array(in_sentence))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), ids, sizes], names=["doc_id", "lang", "ids", "sizes"])
 
     return run
 
@@ -161,32 +215,35 @@ def _sums(shared, n_terms: int, inner: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = shared.value if shared is not None else None
+        h = shared.value.astype(np.float32) if shared is not None else None
         total = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             ids, row = _lists(batch, "ids")
             n = batch.num_rows
             if h is None:
-                w = np.array(batch.column("w").to_pylist(), dtype=np.float64).reshape(n, -1)
+                w = np.array(batch.column("w").to_pylist(), dtype=np.float32).reshape(n, -1)
                 k = w.shape[1]
                 p = w[row]
             else:
                 k = h.shape[1]
                 own = h[ids]
-                w = np.full((n, k), 1.0 / k)
+                w = np.full((n, k), 1.0 / k, dtype=np.float32)
                 starts = np.flatnonzero(np.diff(row, prepend=-1))
                 present = row[starts]
                 for _ in range(inner):
                     p = w[row] * own
-                    p /= p.sum(axis=1, keepdims=True) + 1e-30
-                    w = np.full((n, k), 0.02)
+                    p /= p.sum(axis=1, keepdims=True) + np.float32(1e-30)
+                    w = np.full((n, k), 0.02, dtype=np.float32)
                     if len(starts):
                         w[present] += np.add.reduceat(p, starts, axis=0)
                     w /= w.sum(axis=1, keepdims=True)
-            part = np.stack([np.bincount(ids, weights=p[:, j], minlength=n_terms) for j in range(k)], axis=1)
-            total = part if total is None else total + part
+            order = np.argsort(ids, kind="stable")
+            some = ids[order]
+            begins = np.flatnonzero(np.diff(some, prepend=-1))
+            if total is None:
+                total = np.zeros((n_terms, k))
+            if len(begins):
+                total[some[begins]] += np.add.reduceat(p[order], begins, axis=0)
         if total is not None:
             used = np.flatnonzero(total.sum(axis=1) > 0)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(total[used, j]) for j in range(total.shape[1]))], names=["term", *(f"c{j}" for j in range(total.shape[1]))])
@@ -219,10 +276,10 @@ def _judge(shared, names: list[str]):
     return run
 
 
-def fit(rows: DataFrame, vocabulary: list[str], labels: DataFrame, names: list[str]) -> np.ndarray:
+def fit(rows: DataFrame, vocabulary: np.ndarray, labels: DataFrame, names: list[str]) -> np.ndarray:
     """The share of each subject in each term, 0 where it is not decided."""
     context = rows.sparkSession.sparkContext
-    index = {t: i for i, t in enumerate(vocabulary)}
+    index = {t: i for i, t in enumerate(vocabulary.tolist())}
     n, k = len(vocabulary), len(names)
     subject = F.regexp_replace(F.lower(F.trim("subject_name")), r"[\s_-]+", "_")
     kept = labels.select("label_id", "doc_id", subject.alias("subject")).where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).orderBy("label_id").limit(LABELS)
@@ -235,8 +292,8 @@ def fit(rows: DataFrame, vocabulary: list[str], labels: DataFrame, names: list[s
     anchor = np.zeros((n, k))
     for j, s in enumerate(names):
         for t in TERMS.get(s, "").split():
-            if t in index:
-                anchor[index[t], j] = 1
+            if code_of(t) in index:
+                anchor[index[code_of(t)], j] = 1
     seed = np.zeros((n, k))
     for j in range(k):
         expected = labelled[:, j].sum() * base
@@ -265,14 +322,18 @@ def composition(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFra
     context = docs.sparkSession.sparkContext
     names = sorted(r[0] for r in areas.select("subject_name").where(f"subject_name is not null and subject_name <> '{OTHER}'").distinct().collect())  # a fixed short list
     texts = docs.select("doc_id", "lang", "text").where("doc_id is not null and text is not null")
-    counts = texts.select("text").mapInPandas(_document_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = materialize(counts)
-    n_docs = counts.where("term = ''").agg(F.max("n")).first()[0] or 0
+    coded = materialize(texts.mapInPandas(_rows, "doc_id long, lang string, codes array<int>, sizes array<int>"))
+    counts = materialize(coded.select("codes", "sizes").mapInArrow(_document_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    n_docs = counts.where("term = -1").agg(F.max("n")).first()[0] or 0
     least = max(MIN_DOCS, int(MIN_SHARE * n_docs))
-    rows = counts.where((F.col("term") != "") & (F.col("n") >= least) & (F.col("n") <= max(MAX_SHARE * n_docs, 50))).orderBy("term").toPandas()  # at most a document's mean terms / MIN_SHARE
-    vocabulary = rows["term"].tolist()
-    matrix = materialize(texts.mapInPandas(_rows(context.broadcast({t: i for i, t in enumerate(vocabulary)})), "doc_id long, lang string, ids array<int>, sizes array<int>"))
-    share = fit(matrix, vocabulary, labels, names) if vocabulary else np.zeros((1, len(names)))
+    anchors = [code_of(t) for s in names for t in TERMS.get(s, "").split()]
+    useful = (F.col("n") <= max(MAX_SHARE * n_docs, 50)) | F.col("term").isin(anchors)
+    kept = counts.where((F.col("term") >= 0) & (F.col("n") >= least) & useful).select("term").toPandas()  # at most a document's mean terms / MIN_SHARE
+    vocabulary = np.sort(kept["term"].to_numpy(dtype=np.int64))
+    if not len(vocabulary):
+        vocabulary = np.array([-1], dtype=np.int64)
+    matrix = materialize(coded.mapInArrow(_known(context.broadcast(vocabulary)), "doc_id long, lang string, ids array<int>, sizes array<int>"))
+    share = fit(matrix, vocabulary, labels, names)
     kind = "doc_id long, n_sentences long, " + ", ".join(f"s{j} long" for j in range(len(names)))
     judged = matrix.select("doc_id", "ids", "sizes").mapInArrow(_judge(context.broadcast(share), names), kind)
     pairs = F.array(*[F.struct(F.lit(s).alias("subject_name"), F.col(f"s{j}").alias("sentences")) for j, s in enumerate(names)])
