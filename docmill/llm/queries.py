@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import leakage, linking, packing, splitting, subjects, survivors
+from docmill.llm import leakage, linking, packing, scans, splitting, subjects, survivors
 from docmill.session import table
 
 #: Words in a tree node and in a whole Markdown file, and the overlap of consecutive pieces.
@@ -46,6 +46,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_survivors(spark, sf_dir).where("dominates and (canonical_name is not null or n_names = 0)").select("case_id", "group_id", "candidate_id")
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "tree_nodes").select(F.lit("tree_nodes").alias("record_kind"), F.col("node_key").alias("record_id"), F.concat_ws("|", "case_id", "doc_id").alias("file"), "title", F.col("content").alias("text"))
+    passages = table(spark, sf_dir, "passages").select(F.lit("passages").alias("record_kind"), F.col("passage_id").alias("record_id"), F.concat_ws("|", "case_id", "source_pdf").alias("file"), F.col("section_title").alias("title"), "text")
+    return nodes.unionByName(passages)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defects of each record."""
+    return scans.repair(_scanned(spark, sf_dir)).select("record_kind", "record_id", F.explode("defects").alias("defect")).distinct()
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record in continuous paragraphs."""
+    return scans.repair(_scanned(spark, sf_dir)).select("record_kind", "record_id", "text").dropDuplicates(["record_kind", "record_id"])
+
+
 def _unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "candidate_entities").where("group_id is null").select("candidate_id", "case_id", "text")
 
@@ -98,7 +114,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_survivors, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_survivors, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_composition)}
 
 
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

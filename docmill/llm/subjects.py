@@ -74,8 +74,6 @@ TERMS = {
 #: What ends in a full stop without ending a sentence.
 ABBREVIATIONS = set("rs no nos mr mrs ms dr smt shri adv prof hon ltd pvt co v vs exh art sec para st ors inr sri esq capt bros".split())
 ENDS = re.compile(r"[.!?]+[\"')\]]*(?=\s)|\n\s*\n|\n(?=\s*[-*•(#\d])")
-#: Words of three letters or more without a capital in front.
-LOWER = re.compile(r"(?<![\w'’-])[^\W\d_A-ZÀ-ÖØ-Þ](?:[^\W\d_]|['’-](?=[^\W\d_])){2,}")
 FIRST = re.compile(r"[^\w]*([^\W\d_])[\w'’-]*(?:[^\w]+(?:[^\W_A-ZÀ-ÖØ-Þ]|$)|[^\w]*$)")
 DOTTED = re.compile(r"(?:\w\.)+\w?")
 
@@ -98,8 +96,21 @@ def sentences(text: str) -> list[str]:
     return [*out, part] if part else out
 
 
+class Apart(dict):
+    """str.translate: letters, apostrophes and hyphens stay, capitals become a mark, the rest is space."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = CAPITAL if c.isupper() else c if c.isalpha() or c in "'’-" else " "
+        return out
+
+
+CAPITAL = "~"
+APART = Apart()
+
+
 def words(sentence: str) -> list[str]:
-    """Lower-case words; names, by their capitals, are left out."""
+    """Words in lower case; names are left with a mark instead of their capital."""
     if sentence.isupper():
         sentence = sentence.lower()
     else:  # the first word is a name only if the next one has a capital too
@@ -107,16 +118,17 @@ def words(sentence: str) -> list[str]:
         if first:
             at = first.start(1)
             sentence = sentence[at].lower() + sentence[at + 1 :]
-    return LOWER.findall(sentence)
+    return sentence.translate(APART).split()
 
 
 class Codes(dict):
-    """A word's number, remembered; the number depends on the word alone."""
+    """A word's number, remembered; it depends on the word alone. Names and short words have none."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        self[word] = code = zlib.crc32(word.encode()) & 0x7FFFFFFF
+        bare = word.strip("'’-")
+        self[word] = code = -1 if len(bare) < 3 or bare[0] in CAPITAL else zlib.crc32(bare.encode()) & 0x7FFFFFFF
         return code
 
 
@@ -142,9 +154,9 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             flat: list[int] = []
             sizes: list[int] = []
             for s in sentences(text) if text else ():
-                found = words(s)
+                found = [c for c in map(codes.__getitem__, words(s)) if c >= 0]
                 if found:
-                    flat += map(codes.__getitem__, found)
+                    flat += found
                     sizes.append(len(found))
             if sizes:
                 rows.append((doc, lang, np.array(flat, dtype=np.int32), np.array(sizes, dtype=np.int32)))
@@ -285,9 +297,11 @@ def fit(rows: DataFrame, vocabulary: np.ndarray, labels: DataFrame, names: list[
     kept = labels.select("label_id", "doc_id", subject.alias("subject")).where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).orderBy("label_id").limit(LABELS)
     votes = kept.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("subject") == s).alias(f"v{j}") for j, s in enumerate(names)])
     shares = votes.select("doc_id", F.array(*[F.col(f"v{j}") / F.col("n") for j in range(k)]).alias("w"))
-    labelled = _gather(rows.join(shares, "doc_id"), None, n, k, ["ids", "w"])
     spoken = [F.when(F.lower("lang") == x, 1.0).otherwise(0.0) for x in LANGUAGES]
-    common = _gather(rows.withColumn("w", F.array(*spoken, F.lit(1.0))), None, n, len(spoken) + 1, ["ids", "w"])
+    own = F.coalesce("w", F.array(*[F.lit(0.0)] * k))
+    given = rows.join(shares, "doc_id", "left").withColumn("w", F.concat(own, F.array(*spoken, F.lit(1.0))))
+    both = _gather(given, None, n, k + len(spoken) + 1, ["ids", "w"])
+    labelled, common = both[:, :k], both[:, k:]
     base = common[:, -1] / max(common[:, -1].sum(), 1.0)
     anchor = np.zeros((n, k))
     for j, s in enumerate(names):
