@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import leakage, linking, packing, scans, splitting, subjects, survivors
+from docmill.llm import leakage, linking, packing, pii, scans, splitting, subjects, survivors
 from docmill.session import table
 
 #: Words in a tree node and in a whole Markdown file, and the overlap of consecutive pieces.
@@ -77,6 +77,20 @@ def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(linking.entities(rows), ["case_id", "text"], "left").select("candidate_id", "case_id", "entity")
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir, "tree_nodes", "node_key", "content").unionByName(_records(spark, sf_dir, "entity_mentions", "mention_id", "context"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of personal information in each record."""
+    return pii.personal_spans(_personal(spark, sf_dir)).select("record_kind", "record_id", "pii_type").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with placeholders in place of personal information."""
+    return pii.redacted(_personal(spark, sf_dir)).dropDuplicates(["record_kind", "record_id"])
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -114,7 +128,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_survivors, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_survivors, p5_found, p5_redacted, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_composition)}
 
 
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
