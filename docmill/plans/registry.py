@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from docmill.plans import entity_queries, graph_queries, retrieval_queries, service_queries, text_queries
+
+MODULES = (retrieval_queries, text_queries, entity_queries, graph_queries, service_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
