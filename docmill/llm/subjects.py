@@ -107,9 +107,10 @@ class Apart(dict):
 
 CAPITAL = "~"
 APART = Apart()
+ASCII_APART = bytes(ord(APART[i]) if i < 128 else 32 for i in range(256))
 
 
-def words(sentence: str) -> list[str]:
+def words(sentence: str) -> list[bytes]:
     """Words in lower case; names are left with a mark instead of their capital."""
     if sentence.isupper():
         sentence = sentence.lower()
@@ -118,17 +119,19 @@ def words(sentence: str) -> list[str]:
         if first:
             at = first.start(1)
             sentence = sentence[at].lower() + sentence[at + 1 :]
-    return sentence.translate(APART).split()
+    if sentence.isascii():
+        return sentence.encode().translate(ASCII_APART).split()
+    return sentence.replace("’", "'").translate(APART).encode().split()
 
 
 class Codes(dict):
     """A word's number, remembered; it depends on the word alone. Names and short words have none."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        bare = word.strip("'’-")
-        self[word] = code = -1 if len(bare) < 3 or bare[0] in CAPITAL else zlib.crc32(bare.encode()) & 0x7FFFFFFF
+        bare = word.strip(b"'-")
+        self[word] = code = -1 if len(bare.decode()) < 3 or bare[:1] == CAPITAL.encode() else zlib.crc32(bare) & 0x7FFFFFFF
         return code
 
 
@@ -141,7 +144,7 @@ def pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def code_of(term: str) -> int:
     """The number of a word, or of a pair joined by _."""
-    first, _, second = term.partition("_")
+    first, _, second = term.encode().partition(b"_")
     codes = Codes()
     return int(pair_codes(np.array([codes[first]]), np.array([codes[second]]))[0]) if second else codes[first]
 
