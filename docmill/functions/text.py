@@ -76,7 +76,7 @@ def canonical_name(text: Column, kind: Column) -> Column:
     for suffix in SUFFIXES:
         bare = F.replace(bare, F.lit(suffix), F.lit(""))
     name = F.when(kind == "Organization", bare).otherwise(name)
-    return F.array_join(words(F.translate(name, ",.'", "")), "_")
+    return F.when(text.isNotNull(), F.array_join(words(F.translate(name, ",.'", "")), "_"))
 
 
 def slug(c: Column) -> Column:

@@ -85,7 +85,7 @@ def train_graph_embeddings(edges: DataFrame, case: str, least: int = 10, dimensi
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         if len(group) < least:
-            return pd.DataFrame({case: [], "entity": [], "idx": [], "vec": []})
+            return pd.DataFrame(columns=[case, "entity", "idx", "vec"], dtype=object)
         names = sorted(set(group["src"]) | set(group["dst"]))
         rels = sorted(set(group["rel"]))
         at, rt = {n: i for i, n in enumerate(names)}, {x: i for i, x in enumerate(rels)}
