@@ -6,8 +6,8 @@ longer than a window is read in overlapping windows, and where they overlap each
 the tag of the window in which it stands farther from an edge.  Runs of a tag become spans, which
 must hold what their type cannot do without, and are replaced by a placeholder of the type.
 
-Each text is tagged where it is, without a shuffle; segments of a task that
-are equal but for their digits are tagged once.
+Each text is tagged where it is, without a shuffle; segments that are
+equal but for their digits are tagged once by a worker.
 Weights are a small file read once by each worker.
 
 Defined cases: null texts give no row in the result of spans and stay null when replaced; empty
@@ -32,7 +32,8 @@ from docmill.llm.pii_model import TYPES
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 WINDOW, OVERLAP = 208, 56
 #: Segments tagged together, and remembered at most.
-TOGETHER, REMEMBERED = 2048, 100_000
+TOGETHER, REMEMBERED = 8192, 250_000
+BATCH, STRETCH = 512, 4096
 
 #: To the tagger all digits are alike, so segments that differ in digits are tagged once.
 DIGITS = str.maketrans("123456789", "000000000")
@@ -61,8 +62,8 @@ def tag_windows(windows: list[np.ndarray], p: dict[str, np.ndarray]) -> list[np.
     """The tags of each window, read in batches of similar length."""
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint8)] * len(windows)
     order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
-    for at in range(0, len(order), 256):
-        part = order[at : at + 256]
+    for at in range(0, len(order), BATCH):
+        part = order[at : at + BATCH]
         width = len(windows[part[-1]])
         if not width:
             continue
@@ -121,16 +122,20 @@ def found(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
+#: Spans of the segments that this worker has read, in whichever task.
+KNOWN: dict[str, dict[str, list]] = {}
+
+
 def _spans(path: str, redact: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = weights(path)
-        known: dict[str, list] = {}
+        known = KNOWN.setdefault(path, {})
         for batch in batches:
             keys, texts = list(zip(batch["record_kind"], batch["record_id"], strict=True)), batch["text"].tolist()
             result = []
-            for lo in range(0, len(texts), 1024):
-                cut = [segments(t) if t else [] for t in texts[lo : lo + 1024]]
-                masked = [t.translate(DIGITS) if t else "" for t in texts[lo : lo + 1024]]
+            for lo in range(0, len(texts), STRETCH):
+                cut = [segments(t) if t else [] for t in texts[lo : lo + STRETCH]]
+                masked = [t.translate(DIGITS) if t else "" for t in texts[lo : lo + STRETCH]]
                 new = list(dict.fromkeys(t[a:b] for t, parts in zip(masked, cut, strict=True) for a, b in parts if t[a:b] not in known))
                 for at in range(0, len(new), TOGETHER):
                     part = new[at : at + TOGETHER]

@@ -17,16 +17,16 @@ from collections import defaultdict
 import numpy as np
 
 from docmill.llm import names, pii_model
-from docmill.llm.pii import segments
+from docmill.llm.pii import DATE, segments
 
 #: At most so many segments are learned from.
 SAMPLE = 260_000
 
-EMAIL = re.compile(r"[\w.+-]+\s?@\s?[\w-]+(?:\.[\w-]+)+|[\w.+-]+\s*[\[(]at[\])]\s*[\w-]+(?:\s*(?:[\[(]dot[\])]|\.)\s*[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+")
-PHONE = re.compile(r"(?<![\w/-])(?:\(\+?\d{1,4}\)[\s-]?|\+\d{1,3}[\s-]?)?\d{2,5}(?:[\s.-]?\d{2,6}){1,4}(?:\s?(?:ext|x)\.?\s?\d{1,4})?(?![\w/-])")
-PHONE_CUE = re.compile(r"(?:phone|mobile|\btel\b|telephone|fax|contact|call(?:ed|er|s)?|messages? (?:went to|from)|reached (?:on|at)|ring|dial|sms|\bph\b|cell|whatsapp|\bext\b|/)\W*(?:(?:number|no|from|to|on|at|is|was)\W*)*$", re.IGNORECASE)
+EMAIL = re.compile(r"[\w.+-]+\s?@\s?[\w-]+(?:\.[\w-]+)+|[\w.+-]+\s*[\[(]at[\])]\s*[\w-]+(?:\s*(?:[\[(]dot[\])]|\.)\s*[\w-]+)+|[\w.+-]+ at [\w.-]+(?: dot [\w-]+)+")
+PHONE = re.compile(r"(?<![\w/-])(?:1[-.\s])?(?:\(\+?\d{1,4}\)[\s-]?|\+\d{1,3}[\s-]?)?\d{2,5}(?:[\s.-]?\d{2,6}){1,4}(?:\s?(?:ext|x)\.?\s?\d{1,4})?(?![\w/-])")
+PHONE_CUE = re.compile(r"(?:phone|mobile|\btel\b|telephone|fax|contact|\bcall(?:ed|er|s)?|messages? (?:went to|from)|reached (?:on|at)|\bring|dial|sms|\bph\b|cell|whatsapp|\bext\b|/)\W*(?:(?:number|no|from|to|on|at|is|was)\W*)*$", re.IGNORECASE)
 NOT_PHONE = re.compile(r"(?:seal|meter|token|receipt|folio|diary|account|passport|licen[cs]e|uid|identity|security|voter|\bpan\b|card|serial|survey|invoice|reference|register|column)\b[^.]{0,40}$", re.IGNORECASE)
-IDENTITY = re.compile(r"(?:passport|\bPAN\b|permanent\s+account|\bUID\b|national\s+identity|voter|driving\s+licen[cs]e|social\s+security|identity\s+card|taxpayer|aadhaar|\bSSN\b|ration\s+card)(?:\s+(?:number|no\b\.?|card|id))*[\s:.#]*((?:[A-Z]{1,6}[-\s]?)?\d[\d\s-]{3,18}\d[A-Z]?|[A-Z]{3,5}\d{4}[A-Z]|[A-Z]{2}\d{2}[\s-]?\d{5,8})(?![\w])", re.IGNORECASE)
+IDENTITY = re.compile(r"(?:passport|\bPAN\b|permanent\s+account|\bUID\b|national\s+identity|voter|driving\s+licen[cs]e|social\s+security|identity\s+card|taxpayer|aadhaar|\bSSN\b|ration\s+card)(?:\s+(?:number|no\b\.?|card|id))*[\s:.#]*((?:[A-Z]{1,6}[-\s]?)?\d[\d\s-]{3,18}\d[A-Z]?|[A-Z]{3,5}\d{4}[A-Z]|[A-Z]{2}\d{2}[\s/-]?\d{5,8})(?![\w])", re.IGNORECASE)
 ADDRESS = re.compile(
     r"(?:(?:Flat|House|Door|Shop|Room|Unit|Apartment|Apt\.?|Block|H\.)\s+(?:No\.?\s*)?\d[\w/-]*|\d+(?:st|nd|rd|th)\s+floor|(?<![\w./-])\d{1,4}[A-Z]?(?:[/-]\d{0,3}[A-Z]?)*(?![\w.]))[,\s]\s*"
     r"(?:[\w'’./-]+[,\s]\s*){0,9}?(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Marg|Avenue|Ave\.?|Cross|Square|Path|Row|Apartments|Colony|Enclave)(?![\w])"
@@ -75,7 +75,7 @@ def spans(text: str, known: tuple[set, set, set]) -> list[tuple[int, int, int]]:
     for m in PHONE.finditer(text):
         before = text[max(0, m.start() - 60) : m.start()]
         digits = sum(c.isdigit() for c in m.group())
-        if 7 <= digits <= 15 and not NOT_PHONE.search(before) and (m.group()[0] in "+(" or PHONE_CUE.search(before)):
+        if 7 <= digits <= 15 and not DATE.fullmatch(m.group()) and not NOT_PHONE.search(before) and (m.group()[0] in "+(" or PHONE_CUE.search(before)):
             add(*m.span(), 2)
     surnames, given, others = known
     for o in others:
