@@ -38,6 +38,7 @@ BATCH, STRETCH = 512, 4096
 #: To the tagger all digits are alike, so segments that differ in digits are tagged once.
 DIGITS = str.maketrans("123456789", "000000000")
 DATE = re.compile(r"\d{1,2}([./-])\d{1,2}\1\d{2,4}|\d{4}-\d\d-\d\d")
+RUN = re.compile(rb"([\x01-\x05])\1*")
 ENDS = re.compile(r"(?<=[a-z]{3}\.)(?<!Capt\.)(?<!Prof\.)\s+(?=[A-Z])")
 
 
@@ -58,9 +59,9 @@ def weights(path: str = WEIGHTS) -> dict[str, np.ndarray]:
         return pii_model.ready({k: f[k].astype(np.float32) for k in f.files})
 
 
-def tag_windows(windows: list[np.ndarray], p: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """The tags of each window, read in batches of similar length."""
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint8)] * len(windows)
+def tag_windows(windows: list[np.ndarray], p: dict[str, np.ndarray]) -> list[np.ndarray | None]:
+    """The tags of each window, read in batches of similar length; None where nothing is tagged."""
+    out: list[np.ndarray | None] = [None] * len(windows)
     order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
     for at in range(0, len(order), BATCH):
         part = order[at : at + BATCH]
@@ -70,14 +71,14 @@ def tag_windows(windows: list[np.ndarray], p: dict[str, np.ndarray]) -> list[np.
         x = np.full((len(part), width), pii_model.PAD, dtype=np.uint8)
         for j, i in enumerate(part):
             x[j, : len(windows[i])] = windows[i]
-        tags = pii_model.viterbi(pii_model.emissions(np.ascontiguousarray(x.T), p), p["t"]).T
-        for j, i in enumerate(part):
-            out[i] = tags[j, : len(windows[i])]
+        tags = np.ascontiguousarray(pii_model.viterbi(pii_model.emissions(np.ascontiguousarray(x.T), p), p["t"]).T)
+        for j in np.flatnonzero(tags.any(axis=1)).tolist():
+            out[part[j]] = tags[j, : len(windows[part[j]])]
     return out
 
 
-def tag_segments(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """The tags of each segment, its windows reconciled."""
+def tag_segments(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray | None]:
+    """The tags of each segment, its windows reconciled; None where nothing is tagged."""
     windows, owner = [], []
     step = WINDOW - OVERLAP
     for k, text in enumerate(texts):
@@ -85,36 +86,38 @@ def tag_segments(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray]
         for at in range(0, max(1, len(codes) - OVERLAP), step):
             windows.append(codes[at : at + WINDOW])
             owner.append((k, at))
-    tagged = tag_windows(windows, p)
-    out = [np.zeros(len(t), dtype=np.uint8) for t in texts]
-    for (k, at), tags in zip(owner, tagged, strict=True):
+    out: list[np.ndarray | None] = [None] * len(texts)
+    for (k, at), tags in zip(owner, tag_windows(windows, p), strict=True):
+        n = len(texts[k])
+        if n <= WINDOW:
+            out[k] = tags
+            continue
+        if out[k] is None:
+            out[k] = np.zeros(n, dtype=np.uint8)
         begin = OVERLAP // 2 if at else 0  # the half that lies nearer to this window's middle
-        out[k][at + begin : at + len(tags)] = tags[begin:]
+        out[k][at + begin : at + WINDOW] = 0 if tags is None else tags[begin:]
     return out
 
 
-def found(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
+def found(text: str, tags: np.ndarray | None) -> list[tuple[int, int, str]]:
     """Spans (start, end, type) of a segment that hold what their type needs."""
-    if not tags.any():
+    if tags is None:
         return []
-    edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
     out = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if not tags[a]:
-            continue
+    for run in RUN.finditer(tags.tobytes()):
+        a, b = run.span()
         kind = TYPES[tags[a] - 1]
         while a < b and not (text[a].isalnum() or text[a] in "+("):
             a += 1
         while a < b and not (text[b - 1].isalnum() or text[b - 1] in ".)"):
             b -= 1
         span = text[a:b]
-        digits = sum(c.isdigit() for c in span)
-        letters = sum(c.isalpha() for c in span)
-        ok = {
+        digits, letters = sum(map(str.isdigit, span)), sum(map(str.isalpha, span))
+        ok = {  # looked at only where something is tagged
             "email": len(span) > 5 and letters > 3 and bool(re.search(r"@|\bat\b", span, re.IGNORECASE)),
             "phone": digits >= 7 and not DATE.fullmatch(span),
             "identity_number": digits >= 4,
-            "street_address": digits >= 1 and letters >= 6,
+            "street_address": digits >= 1 and letters >= 6 and bool(re.search(r"[A-Z]", span)),
             "person_name": letters >= 3 and digits * 4 <= letters and bool(re.search(r"[^\W\d_]{2}", span)) and (" " in span or span[:1].isupper()),
         }[kind]
         if ok:

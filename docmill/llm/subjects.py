@@ -38,7 +38,7 @@ LABELS = 50_000
 MIN_SHARE, MIN_DOCS, MAX_SHARE = 0.0005, 3, 0.08
 PASSES, INNER = 6, 2
 #: Documents worked through at once, so that their part of the matrix stays in the cache.
-AT_ONCE = 250
+AT_ONCE = 64
 PRIOR = 0.3
 DECIDED, ENOUGH, SHARE = 0.5, 0.9, 0.2
 LANGUAGES = ["en", "es", "fr"]
