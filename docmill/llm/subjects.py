@@ -38,7 +38,7 @@ LABELS = 50_000
 MIN_SHARE, MIN_DOCS, MAX_SHARE = 0.0005, 3, 0.08
 PASSES, INNER = 6, 2
 #: Documents worked through at once, so that their part of the matrix stays in the cache.
-AT_ONCE = 64
+AT_ONCE = 256
 PRIOR = 0.3
 DECIDED, ENOUGH, SHARE = 0.5, 0.9, 0.2
 LANGUAGES = ["en", "es", "fr"]
@@ -230,35 +230,37 @@ def _sums(shared, n_terms: int, inner: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = shared.value.astype(np.float32) if shared is not None else None
+        h = np.ascontiguousarray(shared.value.T, dtype=np.float32) if shared is not None else None
         total = None
         for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             ids, row = _lists(batch, "ids")
             n = batch.num_rows
+            # components before entries: every step runs over whole rows of one component
             if h is None:
-                w = np.array(batch.column("w").to_pylist(), dtype=np.float32).reshape(n, -1)
-                k = w.shape[1]
-                p = w[row]
+                w = np.array(batch.column("w").to_pylist(), dtype=np.float32).reshape(n, -1).T
+                k = len(w)
+                p = w[:, row]
             else:
-                k = h.shape[1]
-                own = h[ids]
-                w = np.full((n, k), 1.0 / k, dtype=np.float32)
+                k = len(h)
+                own = np.take(h, ids, axis=1)
+                w = np.full((k, n), 1.0 / k, dtype=np.float32)
                 starts = np.flatnonzero(np.diff(row, prepend=-1))
                 present = row[starts]
                 for _ in range(inner):
-                    p = w[row] * own
-                    p /= p.sum(axis=1, keepdims=True) + np.float32(1e-30)
-                    w = np.full((n, k), 0.02, dtype=np.float32)
+                    p = np.take(w, row, axis=1)
+                    p *= own
+                    p *= 1.0 / (p.sum(axis=0) + np.float32(1e-30))
+                    w = np.full((k, n), 0.02, dtype=np.float32)
                     if len(starts):
-                        w[present] += np.add.reduceat(p, starts, axis=0)
-                    w /= w.sum(axis=1, keepdims=True)
+                        w[:, present] += np.add.reduceat(p, starts, axis=1)
+                    w /= w.sum(axis=0)
             order = np.argsort(ids, kind="stable")
             some = ids[order]
             begins = np.flatnonzero(np.diff(some, prepend=-1))
             if total is None:
                 total = np.zeros((n_terms, k))
             if len(begins):
-                total[some[begins]] += np.add.reduceat(p[order], begins, axis=0)
+                total[some[begins]] += np.add.reduceat(np.take(p, order, axis=1), begins, axis=1).T
         if total is not None:
             used = np.flatnonzero(total.sum(axis=1) > 0)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(total[used, j]) for j in range(total.shape[1]))], names=["term", *(f"c{j}" for j in range(total.shape[1]))])
