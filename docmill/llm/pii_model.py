@@ -154,7 +154,10 @@ def viterbi(e: np.ndarray, t: np.ndarray) -> np.ndarray:
     """The best tags[T, B]; columns in which the rest wins by so much that no run can pay are left out."""
     steps, batch, k = e.shape
     tags = np.zeros((steps, batch), dtype=np.uint8)
-    gap = e[:, :, 0] - e[:, :, 1:].max(axis=2)
+    rival = np.maximum(e[:, :, 1], e[:, :, 2])
+    for j in range(3, k):
+        np.maximum(rival, e[:, :, j], out=rival)
+    gap = e[:, :, 0] - rival
     reach = 2 * max(0.0, float(t.max() - t[0, 0]))
     live = np.flatnonzero(gap.min(axis=0) < reach)
     if not len(live):
