@@ -211,3 +211,32 @@ def test_graph_embeddings(spark):
     e = spark.createDataFrame([("c", f"n{i}", "R", f"n{(i + 1) % 12}") for i in range(12)] + [("d", "a", "R", "b")], "case string, src string, rel string, dst string")
     got = vectors.train_graph_embeddings(e, "case").collect()
     assert {r.case for r in got} == {"c"} and len(got) == 12 and all(abs(np.linalg.norm(r.vec) - 1) < 1e-3 for r in got)
+
+
+def test_extraction(spark):
+    from docmill.operators import extraction
+
+    df = spark.createDataFrame([(1, "On 3 May 2018 Acton Foods LLP paid Rs. 4,500 under WP/12/2010."), (2, None), (3, "")], "k int, t string")
+    got = {(r.label, r.text) for r in extraction.mentions(df, ["k"], "t").collect()}
+    assert got == {("Date", "3 May 2018"), ("Organization", "Acton Foods LLP"), ("Amount", "Rs. 4,500"), ("Case Number", "WP/12/2010")}
+    replies = spark.createDataFrame([(0, '[{"pair_id":1,"relationship":"paid by","direction":"B_TO_A","confidence":0.9},{"pair_id":2,"relationship":null,"confidence":0.9},{"pair_id":9,"relationship":"x","confidence":0.9},{"pair_id":1,"relationship":"low","confidence":0.5}]'), (1, "no json")], "batch_no int, reply string")
+    pairs = spark.createDataFrame([(0, 1, "a", "b"), (0, 2, "a", "c")], "batch_no int, pair_id int, name_a string, name_b string")
+    assert [tuple(r)[:4] for r in extraction.parse_relations(replies, pairs).collect()] == [("b", "PAID_BY", "a", 0.9)]
+
+
+def test_answering_loop(spark):
+    from docmill.operators import agent
+
+    calls = []
+
+    def search(tokens):
+        calls.append(list(tokens))
+        nodes = spark.createDataFrame([("acme_works", 0.4)], "name string, graph_score double")
+        text = "the acme plant" if "acme" in tokens else "nothing"
+        return nodes, spark.createDataFrame([(1, 1, 2.0, text)], "key int, page int, score double, text string")
+
+    edges = spark.createDataFrame([("a", "R", "b")], "src string, rel string, dst string")
+    fused, taken = agent.answer(search, ["plant"], edges)
+    assert taken == 1 and calls == [["plant"], ["plant", "acme", "works"]]
+    assert {r.name: r.confidence_level for r in fused.collect()}["acme_works"] == "HIGH"
+    assert agent.typed_ratio(edges.limit(0)).first().typed_ratio == 0.0
