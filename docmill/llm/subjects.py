@@ -10,7 +10,8 @@ decided terms weigh for, and a document with every subject that has a fifth of i
 
 Scale: the matrix lives in Spark, a row for each document.  A pass fits the document factor
 where the row is and sends only sums by term, combined before the shuffle; the driver holds the
-term factor, whose size is bounded by the vocabulary (terms in at least MIN_SHARE of documents).
+term factor, whose size is bounded by the vocabulary (terms in at least MIN_SHARE of documents;
+those in more than MAX_SHARE only where the labels show that subjects differ in them).
 Document frequencies, sums and factors cover all documents.  Labels are a bounded sample: at
 most LABELS rows, the earliest by label_id.
 
@@ -35,8 +36,10 @@ from docmill.session import materialize
 
 OTHER = "universal"
 LABELS = 50_000
-MIN_SHARE, MIN_DOCS, MAX_SHARE = 0.0005, 3, 0.08
-PASSES, INNER = 6, 2
+MIN_SHARE, MIN_DOCS, MAX_SHARE = 0.0005, 3, 0.3
+#: So many times as often in a subject as elsewhere, a term tells of it, however many documents have it.
+TELLING = 3
+PASSES, INNER = 8, 3
 #: Documents worked through at once, so that their part of the matrix stays in the cache.
 AT_ONCE = 256
 PRIOR = 0.3
@@ -293,15 +296,40 @@ def _judge(shared, names: list[str]):
     return run
 
 
-def fit(rows: DataFrame, vocabulary: np.ndarray, labels: DataFrame, names: list[str]) -> np.ndarray:
+def label_shares(labels: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, w): the share of each subject in the labels of a document."""
+    subject = F.regexp_replace(F.lower(F.trim("subject_name")), r"[\s_-]+", "_")
+    kept = labels.select("label_id", "doc_id", subject.alias("subject")).where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).orderBy("label_id").limit(LABELS)
+    votes = kept.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("subject") == s).alias(f"v{j}") for j, s in enumerate(names)])
+    return votes.select("doc_id", F.array(*[F.col(f"v{j}") / F.col("n") for j in range(len(names))]).alias("w"))
+
+
+def telling(inside: np.ndarray, outside: np.ndarray, n_inside: float, n_outside: float) -> np.ndarray:
+    """Whether terms are found in a subject TELLING times as often as outside it, beyond chance."""
+    expected = n_inside * outside / max(n_outside, 1e-12)
+    chance = np.sqrt(expected * (1 + n_inside / max(n_outside, 1e-12)) + 1e-9)
+    return (inside > TELLING * expected) & (inside - expected > 4 * chance) & (n_outside > 0)
+
+
+def _differing(coded: DataFrame, frequent: np.ndarray, shares: DataFrame, k: int) -> np.ndarray:
+    """Those of the frequent terms that tell of a subject by the labelled documents."""
+    context = coded.sparkSession.sparkContext
+    known = coded.join(shares.select("doc_id"), "doc_id", "left_semi").mapInArrow(_known(context.broadcast(frequent)), "doc_id long, lang string, ids array<int>, sizes array<int>")
+    given = known.join(shares, "doc_id").select(F.array_distinct("ids").alias("ids"), "w")
+    documents = _gather(given, None, len(frequent), k, ["ids", "w"])
+    sums = coded.select("doc_id").join(shares, "doc_id").agg(*[F.sum(F.col("w")[j]) for j in range(k)]).first()
+    labelled = np.array([x or 0.0 for x in sums])
+    found = np.zeros(len(frequent), dtype=bool)
+    for j in range(k):
+        found |= telling(documents[:, j], documents.sum(axis=1) - documents[:, j], labelled[j], labelled.sum() - labelled[j])
+    return frequent[found]
+
+
+def fit(rows: DataFrame, vocabulary: np.ndarray, shares: DataFrame, names: list[str]) -> np.ndarray:
     """The share of each subject in each term, 0 where it is not decided."""
     context = rows.sparkSession.sparkContext
     index = {t: i for i, t in enumerate(vocabulary.tolist())}
     n, k = len(vocabulary), len(names)
-    subject = F.regexp_replace(F.lower(F.trim("subject_name")), r"[\s_-]+", "_")
-    kept = labels.select("label_id", "doc_id", subject.alias("subject")).where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).orderBy("label_id").limit(LABELS)
-    votes = kept.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("subject") == s).alias(f"v{j}") for j, s in enumerate(names)])
-    shares = votes.select("doc_id", F.array(*[F.col(f"v{j}") / F.col("n") for j in range(k)]).alias("w"))
     spoken = [F.when(F.lower("lang") == x, 1.0).otherwise(0.0) for x in LANGUAGES]
     own = F.coalesce("w", F.array(*[F.lit(0.0)] * k))
     given = rows.join(shares, "doc_id", "left").withColumn("w", F.concat(own, F.array(*spoken, F.lit(1.0))))
@@ -316,7 +344,10 @@ def fit(rows: DataFrame, vocabulary: np.ndarray, labels: DataFrame, names: list[
     seed = np.zeros((n, k))
     for j in range(k):
         expected = labelled[:, j].sum() * base
-        seed[:, j] = np.where((labelled[:, j] > 3 * expected) & (labelled[:, j] - expected > 4 * np.sqrt(expected + 1e-9)), labelled[:, j], 0)
+        often = (labelled[:, j] > TELLING * expected) & (labelled[:, j] - expected > 4 * np.sqrt(expected + 1e-9))
+        rest = labelled.sum(axis=1) - labelled[:, j]
+        often |= telling(labelled[:, j], rest, labelled[:, j].sum(), rest.sum())  # a large subject weighs in base itself
+        seed[:, j] = np.where(often, labelled[:, j], 0)
     seed *= (seed / (seed.sum(axis=1, keepdims=True) + 1e-12)) ** 2
     unit = lambda x: x / (x.sum(axis=0, keepdims=True) + 1e-12)
     seed = unit(unit(seed) + unit(anchor * base[:, None]))
@@ -346,13 +377,18 @@ def composition(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFra
     n_docs = counts.where("term = -1").agg(F.max("n")).first()[0] or 0
     least = max(MIN_DOCS, int(MIN_SHARE * n_docs))
     anchors = [code_of(t) for s in names for t in TERMS.get(s, "").split()]
-    useful = (F.col("n") <= max(MAX_SHARE * n_docs, 50)) | F.col("term").isin(anchors)
-    kept = counts.where((F.col("term") >= 0) & (F.col("n") >= least) & useful).select("term").toPandas()  # at most a document's mean terms / MIN_SHARE
-    vocabulary = np.sort(kept["term"].to_numpy(dtype=np.int64))
+    usual = (F.col("n") <= max(MAX_SHARE * n_docs, 50)) | F.col("term").isin(anchors)
+    kept = counts.where((F.col("term") >= 0) & (F.col("n") >= least)).select("term", usual.alias("usual")).toPandas()  # at most a document's mean terms / MIN_SHARE
+    frequent = np.sort(kept["term"][~kept["usual"].astype(bool)].to_numpy(dtype=np.int64))
+    vocabulary = kept["term"][kept["usual"].astype(bool)].to_numpy(dtype=np.int64)
+    shares = label_shares(labels, names)
+    if len(frequent):
+        vocabulary = np.append(vocabulary, _differing(coded, frequent, shares, len(names)))
+    vocabulary = np.sort(vocabulary)
     if not len(vocabulary):
         vocabulary = np.array([-1], dtype=np.int64)
     matrix = materialize(coded.mapInArrow(_known(context.broadcast(vocabulary)), "doc_id long, lang string, ids array<int>, sizes array<int>"))
-    share = fit(matrix, vocabulary, labels, names)
+    share = fit(matrix, vocabulary, shares, names)
     kind = "doc_id long, n_sentences long, " + ", ".join(f"s{j} long" for j in range(len(names)))
     judged = matrix.select("doc_id", "ids", "sizes").mapInArrow(_judge(context.broadcast(share), names), kind)
     pairs = F.array(*[F.struct(F.lit(s).alias("subject_name"), F.col(f"s{j}").alias("sentences")) for j, s in enumerate(names)])

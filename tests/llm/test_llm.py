@@ -358,6 +358,23 @@ def test_subjects(spark):
     assert all(r["sum(sentences)"] == r["max(n_sentences)"] for r in parts)
 
 
+def test_subjects_of_a_large_share(spark):
+    """Words that two fifths of the documents have still tell of the subject that alone has them."""
+    rng = random.Random(5)
+    own = {"property": "zorbel quandle mirrish", "tax": "vastrel humbick dolfane"}
+    common = [f"both sides of case {''.join(rng.choices('abcdefghij', k=6))} filed {''.join(rng.choices('klmnopqrst', k=6))} notes" for _ in range(25)]
+    docs, want = [], {}
+    for i in range(800):
+        kind = ("property", "property", "tax", "universal", "universal")[i % 5]
+        picks = [rng.choice(common).capitalize() + "." for _ in range(3)] + [f"There was {own[kind]} at the time." for _ in range(3 if kind in own else 0)]
+        docs.append((i, "en", " ".join(picks)))
+        want[i] = kind
+    areas = spark.createDataFrame([("property", "x"), ("tax", "y")], "subject_name string, description string")
+    labels = spark.createDataFrame([(i, i, want[i]) for i in range(200)], "label_id long, doc_id long, subject_name string")
+    got = {r.doc_id: r.subject_name for r in subjects.subjects(spark.createDataFrame(docs, "doc_id long, lang string, text string"), areas, labels).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
 def test_nothing_outside_imports_this_subpackage():
     from pathlib import Path
 
