@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
+from docmill.operators import retrieval
 
 #: Relations that only say that two names stand together.
 WEAK = ["CO_OCCURS_WITH", "CO_OCCURS", "COOCCURS_WITH"]
 ALPHA, BETA, GAMMA = 0.5, 0.3, 0.2
+SEEDS = 5
+_PARTY = ["Organization", "Person", "FinancialInstitution", "Government", "StatutoryBody"]
+#: Words of a question and the types they stand for.
+KEYWORDS = {
+    "parties": _PARTY, "party": _PARTY, "who": _PARTY, "court": ["Court"], "judge": ["Court", "Person"], "amount": ["Demand", "Amount", "Transaction"], "demand": ["Demand"], "charges": ["Demand"], "payment": ["Transaction", "Amount"],
+    "order": ["Court", "LegalProceeding"], "ruling": ["Court", "LegalProceeding"], "case": ["LegalProceeding"], "petition": ["LegalProceeding"], "law": ["Regulation"], "section": ["Regulation"], "act": ["Regulation"], "asset": ["Asset"], "plot": ["Asset", "Location"], "land": ["Asset", "Location"],
+    "loan": ["Transaction", "FinancialInstitution"], "bank": ["FinancialInstitution"],
+}
 
 
 def upsert(rows: DataFrame, keys: list[str], confidence: str, order: str) -> DataFrame:
@@ -63,6 +74,32 @@ def relevance(question: list[str], name: Column, text: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(own, asked)) / union).otherwise(0.0)
 
 
+def asked_types(question: str) -> list[str]:
+    """The types that the question's keywords stand for, in order of the keywords."""
+    return list(dict.fromkeys(t for word, types in KEYWORDS.items() if word in question.lower() for t in types))
+
+
+def type_seeds(nodes: DataFrame, question: str, order: str) -> DataFrame:
+    """nodes(node, label, order) -> (node) of the asked types: three of each, the earliest first, until there are SEEDS."""
+    types = asked_types(question)
+    if not types:
+        return nodes.select("node").limit(0)
+    place = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("label"))
+    few = retrieval.best_per(nodes.where(F.col("label").isin(types)).select("label", "node", order), ["label"], [F.col(order), F.col("node")], 3)
+    first = few.groupBy("node").agg(F.min(F.struct(place.alias("place"), F.col(order).alias("at"))).alias("first"))
+    return first.orderBy("first", "node").limit(SEEDS).select("node")
+
+
+def question_seeds(nodes: DataFrame, degrees: DataFrame, question: list[str], order: str) -> DataFrame:
+    """nodes(node, name, label, order) -> (node): names that share a word with the question, else names of the types it asks for, else those of the highest degree."""
+    overlap = relevance(question, F.col("name"), F.lit(""))
+    told = nodes.withColumn("rel", overlap).where("rel > 0").groupBy("node").agg(F.max("rel").alias("rel")).orderBy(F.desc("rel"), "node").limit(SEEDS)
+    tiers = [told.select("node"), type_seeds(nodes, " ".join(question), order), degrees.select("node", "degree").distinct().orderBy(F.desc("degree"), "node").limit(SEEDS).select("node")]
+    rows = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
+    kept = rows.agg(F.array_sort(F.collect_list(F.struct("tier", "node"))).alias("x"))  # at most SEEDS a tier
+    return kept.select(F.explode(F.filter("x", lambda r: r["tier"] == F.col("x")[0]["tier"])).alias("r")).select("r.node")
+
+
 def node_scores(rows: DataFrame, k: int) -> DataFrame:
     """rows(node, rel, degree, confidence) -> (node, node_score): rows of one name add up, damped."""
     most = rows.agg(F.greatest(F.max("degree"), F.lit(1)).alias("most"))

@@ -16,7 +16,7 @@ from docmill.operators import fusion, graph, retrieval, vectors
 from docmill.operators.entities import graph_label
 from docmill.plans import entity_queries as EQ
 from docmill.plans.retrieval_queries import BM25, QUESTION
-from docmill.session import table
+from docmill.session import materialize, table
 
 SEEDS = ["NATION_1", "NATION_2"]
 QUESTION_NAMES = ["customer", "000000042", "supplier", "000000007"]
@@ -157,6 +157,47 @@ def _fusion_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return nodes, passages
 
 
+def _page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of mentions as nodes; a node is a name in its case."""
+    m = EQ._mentions(spark, sf_dir).where("case_id is not null and canonical_name is not null")
+    rows = m.select(_in_case("canonical_name"), F.col("canonical_name").alias("name"), "case_id", graph_label(F.col("schema_type")).alias("label"), "mention_id", "context", "confidence")
+    return graph.upsert(rows, ["node", "name", "case_id", "label"], "confidence", "mention_id")
+
+
+def _in_case(name: str):
+    return F.concat_ws("|", F.col("case_id").cast("string"), F.col(name)).alias("node" if name == "canonical_name" else name)
+
+
+def _page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_edges(spark, sf_dir).select("case_id", _in_case("src"), F.lit("CO_OCCURS").alias("rel"), _in_case("dst"))
+
+
+def question_nodes(nodes: DataFrame, edges: DataFrame, passages: DataFrame, question: list[str], hops: int = 3, k: int = 50) -> DataFrame:
+    """(node, name, graph_score): the k best of what is within hops of the names that the question or its passages concern.
+
+    nodes(node, name, case_id, label, mention_id, context, confidence), passages(case_id, text)
+    are ranked results.  A name stands in a passage if all its longer words do.
+    """
+    degrees = materialize(graph.degree(nodes, edges).distinct())
+    best = F.broadcast(passages.select("case_id", F.lower("text").alias("low")))
+    parts = nodes.select("node", "case_id", fusion.name_parts(F.col("name")).alias("parts")).where(F.size("parts") > 0)
+    quoted = parts.join(best, "case_id").where(F.forall("parts", lambda p: F.contains(F.col("low"), p))).select("node")
+    seeds = materialize(graph.question_seeds(nodes, degrees, question, "mention_id").unionByName(quoted).distinct())
+    rows = nodes.join(graph.traverse(edges, seeds, hops), "node").join(degrees, "node").withColumn("rel", graph.relevance(question, F.col("name"), F.coalesce("context", F.lit(""))))
+    return graph.node_scores(rows, k).join(nodes.select("node", "name").distinct(), "node").select("node", "name", F.col("node_score").alias("graph_score"))
+
+
+def _answer_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and passages of the question, and the edges among those nodes."""
+    passages = materialize(_fusion_inputs(spark, sf_dir)[1])
+    cases = table(spark, sf_dir, "passages").select(F.col("passage_id").alias("key"), "case_id")
+    edges = materialize(_page_edges(spark, sf_dir))
+    found = materialize(question_nodes(materialize(_page_nodes(spark, sf_dir)), edges, passages.join(cases, "key"), list(dict.fromkeys(QUESTION))))
+    named = F.element_at(F.split("src", r"\|", 2), 2), F.element_at(F.split("dst", r"\|", 2), 2)
+    triples = graph.subgraph(edges, found).select(named[0].alias("src"), F.lit("SHARES_PAGE").alias("rel"), named[1].alias("dst")).distinct()
+    return found.groupBy("name").agg(F.max("graph_score").alias("graph_score")), passages, triples
+
+
 def fuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fusion.fuse(*_fusion_inputs(spark, sf_dir))
     return f.select("name", "confidence_level", "passages", F.round("final_score", 4).alias("final_score"))
@@ -170,7 +211,8 @@ def context_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.prompt_context(fusion.fuse(*_fusion_inputs(spark, sf_dir)), graph.touching(_edges(spark, sf_dir), _seeds(spark)))
+    nodes, passages, triples = _answer_inputs(spark, sf_dir)
+    return fusion.prompt_context(fusion.fuse(nodes, passages), triples)
 
 
 def relation_strength(spark: SparkSession, sf_dir: str) -> DataFrame:

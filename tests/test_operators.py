@@ -240,3 +240,19 @@ def test_answering_loop(spark):
     assert taken == 1 and calls == [["plant"], ["plant", "acme", "works"]]
     assert {r.name: r.confidence_level for r in fused.collect()}["acme_works"] == "HIGH"
     assert agent.typed_ratio(edges.limit(0)).first().typed_ratio == 0.0
+
+
+def test_question_reaches_rare_names(spark):
+    from docmill.plans import graph_queries
+
+    rows = [("1|hub", "hub", 1, "Person", 1, None, 0.9), ("1|sale_deed", "sale_deed", 1, "Agreement", 2, None, 0.9), ("1|near", "near", 1, "Person", 3, None, 0.9), ("1|clara_orlov", "clara_orlov", 1, "Person", 4, None, 0.9), ("2|clara_orlov", "clara_orlov", 2, "Person", 5, None, 0.9), ("1|bench", "bench", 1, "Court", 6, None, 0.9)]
+    rows += [(f"1|x{i}", f"x{i}", 1, "Asset", 10 + i, None, 0.9) for i in range(9)]
+    nodes = spark.createDataFrame(rows, "node string, name string, case_id long, label string, mention_id long, context string, confidence double")
+    edges = spark.createDataFrame([("1|hub", f"1|x{i}") for i in range(9)] + [("1|sale_deed", "1|near")], "src string, dst string")
+    passages = spark.createDataFrame([(1, "Clara Orlov signed.")], "case_id long, text string")
+    got = {r.node for r in graph_queries.question_nodes(nodes, edges, passages, ["sale"]).collect()}
+    assert got == {"1|sale_deed", "1|near", "1|clara_orlov"}
+    degrees = graph.degree(nodes, edges)
+    seeds = lambda q: {r.node for r in graph.question_seeds(nodes, degrees, q, "mention_id").collect()}
+    assert seeds(["court"]) == {"1|bench"} and "1|hub" in seeds(["weather"])
+    assert seeds(["judge"]) == {"1|bench", "1|hub", "1|near", "1|clara_orlov"}
