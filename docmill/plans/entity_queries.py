@@ -69,11 +69,24 @@ def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence for the pairs of names whose mention quotes both."""
-    m = _mentions(spark, sf_dir).where("text is not null and context is not null and schema_type = 'Organization'").select("case_id", "source_pdf", "text").distinct()
-    c = _mentions(spark, sf_dir).where("schema_type = 'Person' and text is not null and context is not null").select("mention_id", "case_id", "source_pdf", F.col("text").alias("person"), "context")
-    j = c.join(m, ["case_id", "source_pdf"]).where(F.contains("context", F.col("text")))
-    return j.select("mention_id", "text", F.array_join(E.shared_sentences(F.col("context"), F.col("person"), F.col("text")), " / ").alias("sentences"))
+    """Evidence for every pair of names of a page, of all meaningful types: from the first context with both, else the first with either, else the first."""
+    return _evidence(_mentions(spark, sf_dir))
+
+
+def _evidence(mentions: DataFrame) -> DataFrame:
+    """(case_id, source_pdf, source_page, name_a, name_b, mention_id, sentences), a row for each pair of E.pairs; without a context of the page, sentences is null."""
+    chunk = ["case_id", "source_pdf", "source_page"]
+    m = mentions.where("case_id is not null and source_pdf is not null and source_page > 0")
+    p = E.pairs(m, chunk, "canonical_name", "schema_type", "mention_id")
+    texts = m.select("mention_id", F.coalesce("text", "canonical_name").alias("text"))
+    p = p.join(texts.select(F.col("mention_id").alias("seq_a"), F.col("text").alias("a")), "seq_a").join(texts.select(F.col("mention_id").alias("seq_b"), F.col("text").alias("b")), "seq_b")
+    c = m.where("context is not null").groupBy(*chunk, "context").agg(F.min("mention_id").alias("mention_id"))
+    low = F.lower("context")
+    has_a, has_b = F.contains(low, F.lower("a")), F.contains(low, F.lower("b"))
+    rank = F.when(has_a & has_b, 0).when(has_a | has_b, 1).otherwise(2)
+    j = p.join(c, chunk, "left")
+    best = j.groupBy(*chunk, "name_a", "name_b", "a", "b").agg(F.min(F.struct(rank.alias("rank"), "mention_id", "context")).alias("r"))
+    return best.select("case_id", "source_pdf", F.col("source_page").cast("int").alias("source_page"), "name_a", "name_b", "r.mention_id", F.when(F.col("r.context").isNotNull(), F.array_join(E.shared_sentences(F.col("r.context"), F.col("a"), F.col("b")), " / ")).alias("sentences"))
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:

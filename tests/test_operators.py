@@ -256,3 +256,14 @@ def test_question_reaches_rare_names(spark):
     seeds = lambda q: {r.node for r in graph.question_seeds(nodes, degrees, q, "mention_id").collect()}
     assert seeds(["court"]) == {"1|bench"} and "1|hub" in seeds(["weather"])
     assert seeds(["judge"]) == {"1|bench", "1|hub", "1|near", "1|clara_orlov"}
+
+
+def test_evidence_for_all_types(spark):
+    from docmill.plans import entity_queries
+
+    one = "Clara Orlov met Ivo Brandt. The High Court sat."
+    rows = [(1, "Clara Orlov", "Person", one), (2, "Ivo Brandt", "Person", one), (3, "High Court", "Court", "The High Court sat."), (4, "5 May", "Date", one)]
+    m = spark.createDataFrame([(i, 1, "a.pdf", 2.0, t, t.lower(), k, c) for i, t, k, c in rows], "mention_id long, case_id long, source_pdf string, source_page double, text string, canonical_name string, schema_type string, context string")
+    got = {(r.name_a, r.name_b): r.sentences for r in entity_queries._evidence(m).collect()}
+    assert set(got) == {("clara orlov", "ivo brandt"), ("clara orlov", "high court"), ("ivo brandt", "high court")}
+    assert got["clara orlov", "ivo brandt"].startswith("Clara Orlov met Ivo Brandt.") and "High Court sat" in got["clara orlov", "high court"]
