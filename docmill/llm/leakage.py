@@ -1,13 +1,16 @@
 """Problem 7: evaluation passages inside training texts.
 
 Method: a BM25 inverted index of the test items, searched by block-max WAND with every training
-passage.  Each posting holds the share of its item's whole BM25 mass that the term carries, so
-one threshold serves items of any length: a passage that holds a stretch of an item collects at
-least that stretch's share.  A search orders the passage's terms by their upper bounds; terms
-before the pivot cannot reach the threshold together and are only looked up for items that the
-others brought in; bounds per block of items drop most of those.  Every item at or above the
-threshold is then verified on the whole text: chains of equal word runs that allow single words
-changed, added or left out must cover the asked share of the item in at most two stretches.
+passage.  Items are indexed in units of at most UNIT words.  Each posting holds the share of its
+unit's BM25 mass that the term carries, in parts of the share asked of that unit: what one of two
+stretches that together make the asked coverage would hold of it.  So the threshold is fair to
+items of any length.  A search orders the passage's terms by their upper bounds; terms before
+the pivot cannot reach the threshold together and are only looked up for units that the others
+brought in; bounds per block of units drop most of those.  Every item with a unit at or above
+the threshold is then verified on the whole text: chains of equal word runs that allow single
+words changed, added or left out must cover the asked share of the item in at most two
+stretches.  For each verified pair the share of the question's words that the text holds too
+tells whether only the passage leaked or question and passage (both).
 
 Texts are read once, in place; nothing is shuffled.  The index is broadcast: items are indexed
 in blocks of at most INDEX_BYTES of text, and more items mean more passes, never a larger index.
@@ -32,13 +35,20 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-#: Share of an item's BM25 mass that a passage must hold to be verified, and passage size and step in words.
-THRESHOLD, PASSAGE, STEP = 0.25, 256, 128
+#: Words of a unit of an item, and words and step of a passage of a text.
+UNIT, PASSAGE, STEP = 160, 256, 128
+#: A passage is verified if it holds this part of the BM25 mass that one stretch of an item would have, were all words alike.
+THRESHOLD = 0.75
 #: Share of an item's words that must stand in the text, and the longest break within a stretch.
 COVERAGE, BREAK = 0.4, 3
+#: Share of a question's words from which on the question counts as leaked beside its passage.
+QUESTION = 0.8
 BLOCK = 16
-INDEX_BYTES = 32 << 20
-FOUND = "doc_id long, item_id long, bm25_share double, coverage double, stretches int, first_word int, question_share double"
+#: Text indexed at once, in bytes; the index takes some six times as much. Passages x units scored at once.
+INDEX_BYTES, CELLS = 16 << 20, 1 << 22
+#: Rounding of the sums.
+SLACK = 1e-9
+FOUND = "doc_id long, item_id long, bm25_share double, coverage double, stretches int, first_word int, question_share double, both boolean"
 
 
 #: A stretch of the asked share keeps at least this part of it as equal pairs of words.
@@ -53,94 +63,138 @@ def words_of(text: str) -> list[bytes]:
 
 
 class ItemIndex:
-    """Postings by term with an upper bound for each term and for each block of items."""
+    """Postings by term with an upper bound for each term and for each block of units.
 
-    def __init__(self, ids: list[int], texts: list[str], questions: list[str | None]) -> None:
+    A unit is an item, or UNIT words of a longer item, each beginning UNIT / 2 words after the
+    one before.  Weights are shares of the unit's BM25 mass over the share that a passage has to
+    hold, so that 1 is the threshold of every unit.  All arrays are as long as the postings.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], questions: list[str | None], threshold: float = THRESHOLD, coverage: float = COVERAGE) -> None:
         words = [words_of(t or "") for t in texts]
         keep = [k for k, w in enumerate(words) if w]
         self.ids = [ids[k] for k in keep]
-        words = [words[k] for k in keep]
         self.vocabulary: dict[bytes, int] = {}
-        for w in words:
-            for t in w:
-                self.vocabulary.setdefault(t, len(self.vocabulary))
-        self.items = [np.array([self.vocabulary[t] for t in w], dtype=np.int64) for w in words]
+        number = self.vocabulary.setdefault
+        self.items = [np.array([number(t, len(self.vocabulary)) for t in words[k]], dtype=np.int32) for k in keep]
         self.questions = [frozenset(self.vocabulary.get(t, -2) for t in words_of(questions[k] or "")) for k in keep]
-        n, v = len(words), len(self.vocabulary)
-        counts = [Counter(w.tolist()) for w in self.items]
-        df = np.zeros(v)
-        for c in counts:
-            df[list(c)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(w) for w in words]) if n else 1.0
-        postings: list[tuple[int, int, float]] = []
-        for k, c in enumerate(counts):
-            base = K1 * (1 - B + B * len(words[k]) / mean)
-            weight = {t: idf[t] * f * (K1 + 1) / (f + base) for t, f in c.items()}
-            mass = sum(weight.values()) or 1.0
-            postings.extend((t, k, w / mass) for t, w in weight.items())
-        postings.sort()
+        cuts = [(k, a, min(a + UNIT, len(w)), len(w)) for k, w in enumerate(self.items) for a in range(0, max(1, len(w) - UNIT // 2), UNIT // 2)]
+        cut = np.array(cuts, dtype=np.int64).reshape(-1, 4)
+        self.owner = cut[:, 0]
+        size = cut[:, 2] - cut[:, 1]
+        n, v = len(cut), len(self.vocabulary)
         self.n, self.n_terms = n, v
-        self.term = np.array([p[0] for p in postings], dtype=np.int64)
-        self.item = np.array([p[1] for p in postings], dtype=np.int64)
-        self.weight = np.array([p[2] for p in postings], dtype=np.float64)
-        self.start = np.searchsorted(self.term, np.arange(v + 1))
-        self.key = self.term * max(n, 1) + self.item
-        self.table = None
-        if n * v <= 1 << 24:  # else looked up in the sorted postings
-            self.table = np.zeros(n * v, dtype=np.float32)
-            self.table[self.key] = self.weight
-        self.bound = np.zeros(v)
-        np.maximum.at(self.bound, self.term, self.weight)
-        self.block_bound = np.zeros((v, -(-n // BLOCK) or 1))
-        np.maximum.at(self.block_bound, (self.term, self.item // BLOCK), self.weight)
-        self.bigrams = [np.unique(w[:-1] * v + w[1:]) for w in self.items]
-
-    def weights(self, key: np.ndarray) -> np.ndarray:
-        if self.table is not None:
-            return self.table[key]
+        term = np.concatenate([self.items[k][a:z] for k, a, z, _ in cuts]).astype(np.int64) if n else np.empty(0, dtype=np.int64)
+        self.key, count = np.unique(term * max(n, 1) + np.repeat(np.arange(n), size), return_counts=True)
+        term, self.unit = self.key // max(n, 1), (self.key % max(n, 1)).astype(np.int32)
+        df = np.bincount(term, minlength=v)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        base = K1 * (1 - B + B * size / max(size.mean() if n else 1.0, 1e-9))
+        weight = idf[term] * count * (K1 + 1) / (count + base[self.unit])
+        mass = np.maximum(np.bincount(self.unit, weights=weight, minlength=n), 1e-12)
+        stretch = np.ceil(cut[:, 3] * coverage / 2)  # one of two stretches; what of it one unit and one passage hold for sure
+        sure = np.where(stretch <= UNIT // 2, stretch, np.minimum((stretch + UNIT // 2) // 2, 3 * UNIT // 4))
+        self.least = threshold * np.minimum(sure / np.maximum(size, 1), 1.0)
+        self.weight = weight / (mass * self.least)[self.unit]
+        self.start = np.searchsorted(term, np.arange(v + 1))
+        self.bound = np.maximum.reduceat(self.weight, self.start[:-1]) if v else np.zeros(0)
+        self.blocks = -(-n // BLOCK) or 1
+        cell = term * self.blocks + self.unit // BLOCK
+        begins = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.block = (cell[begins] % self.blocks).astype(np.int32)
+        self.block_bound = np.maximum.reduceat(self.weight, begins) if n else np.zeros(0)
+        self.block_start = np.searchsorted(cell[begins] // self.blocks, np.arange(v + 1))
+        # postings in more than an eighth of the units stand as whole rows too: at most eight cells a posting
+        common = np.flatnonzero(df * 8 > n)
+        self.row = np.full(v, -1, dtype=np.int32)
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), n))
+        own = self.row[term] >= 0
+        self.table[self.row[term[own]], self.unit[own]] = self.weight[own]
+        pairs = [np.unique(w[:-1].astype(np.int64) * v + w[1:]) for w in self.items]
+        self.n_pairs = np.array([len(x) for x in pairs], dtype=np.int64)
+        code, owner = np.concatenate([*pairs, np.empty(0, dtype=np.int64)]), np.repeat(np.arange(len(pairs)), self.n_pairs)
+        order = np.argsort(code, kind="stable")
+        self.pair_item = owner[order].astype(np.int32)
+        self.pair, begins = np.unique(code[order], return_index=True)
+        self.pair_start = np.append(begins, len(code))
+
+    def weights(self, term: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        key = term * self.n + unit
         slot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[slot] == key, self.weight[slot], 0.0)
 
-    def search(self, passage: np.ndarray, term: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All (passage, item, share) of at least the given share.
+    def shared_pairs(self, texts: list[np.ndarray]) -> dict[tuple[int, int], int]:
+        """How many distinct pairs of neighbouring words of each item each text has, where any."""
+        if not len(self.pair):
+            return {}
+        doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        word = np.concatenate(texts)
+        on = (doc[:-1] == doc[1:]) & (word[:-1] >= 0) & (word[1:] >= 0)
+        code, doc = word[:-1][on] * self.n_terms + word[1:][on], doc[:-1][on]
+        slot = np.minimum(np.searchsorted(self.pair, code), len(self.pair) - 1)
+        hit = self.pair[slot] == code
+        both = np.unique(doc[hit] * len(self.pair) + slot[hit])
+        doc, slot = both // len(self.pair), both % len(self.pair)
+        at, size = _ranges(self.pair_start[slot], self.pair_start[slot + 1])
+        code, count = np.unique(np.repeat(doc, size) * len(self.items) + self.pair_item[at], return_counts=True)
+        doc, item = code // len(self.items), code % len(self.items)
+        return dict(zip(zip(doc.tolist(), item.tolist(), strict=True), count.tolist(), strict=True))
+
+    def search(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All (passage, unit, share of the unit's mass) at or above the unit's threshold.
 
         passage and term are the distinct pairs, sorted by passage; n is the number of passages.
+        So many passages are taken at once that passages x units stays within CELLS.
         """
+        at_once = max(1, CELLS // max(self.n, 1))
+        out = []
+        for lo in range(0, n, at_once):
+            a, z = np.searchsorted(passage, lo), np.searchsorted(passage, lo + at_once)
+            p, u, s = self._some(passage[a:z] - lo, term[a:z], min(at_once, n - lo))
+            out.append((p + lo, u, s * self.least[u]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
+
+    def _some(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((self.bound[term], passage))
         passage, term = passage[order], term[order]
-        bound = self.bound[term]
-        sums = np.cumsum(bound)
+        sums = np.cumsum(self.bound[term])
         first = np.searchsorted(passage, np.arange(n + 1))
         before = np.concatenate(([0.0], sums))[first[:-1]]
-        low = sums - before[passage] < least  # terms before the pivot of their passage
+        low = sums - before[passage] < 1 - SLACK  # terms before the pivot of their passage
         p, t = passage[~low], term[~low]
-        start, size = self.start[t], self.start[t + 1] - self.start[t]
-        at = np.arange(size.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        cell = np.repeat(p * self.n, size) + self.item[at]
-        score = np.bincount(cell, weights=self.weight[at], minlength=n * self.n)
+        at, size = _ranges(self.start[t], self.start[t + 1])
+        score = np.bincount(np.repeat(p * self.n, size) + self.unit[at], weights=self.weight[at], minlength=n * self.n).reshape(n, self.n)
         few_p, few_t = passage[low], term[low]
-        blocks = self.block_bound.shape[1]
-        rest = np.zeros((n, blocks))
-        begins = np.flatnonzero(np.diff(few_p, prepend=-1))
-        if len(begins):
-            rest[few_p[begins]] = np.add.reduceat(self.block_bound[few_t], begins, axis=0)
-        reach = score.reshape(n, self.n) + np.repeat(rest, BLOCK, axis=1)[:, : self.n]
-        live_p, live_k = np.nonzero((reach >= least) & (score.reshape(n, self.n) > 0))
-        total = score[live_p * self.n + live_k]
-        a, z = np.searchsorted(few_p, live_p, "left"), np.searchsorted(few_p, live_p, "right")
-        size = z - a
-        if size.sum():
-            at = np.arange(size.sum()) + np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        at, size = _ranges(self.block_start[few_t], self.block_start[few_t + 1])
+        rest = np.bincount(np.repeat(few_p * self.blocks, size) + self.block[at], weights=self.block_bound[at], minlength=n * self.blocks).reshape(n, self.blocks)
+        live_p, live_u = np.nonzero(score)
+        on = score[live_p, live_u] + rest[live_p, live_u // BLOCK] >= 1 - SLACK
+        live_p, live_u = live_p[on], live_u[on]
+        total = score[live_p, live_u]
+        if len(live_p) and len(few_p):
+            row = self.row[few_t]
+            whole = row >= 0  # terms with whole rows: looked up for all units in one product
+            held = np.zeros((n, len(self.table)))
+            held[few_p[whole], row[whole]] = 1.0
+            total = total + (held @ self.table)[live_p, live_u]
+            few_p, few_t = few_p[~whole], few_t[~whole]
+            at, size = _ranges(np.searchsorted(few_p, live_p, "left"), np.searchsorted(few_p, live_p, "right"))
             owner = np.repeat(np.arange(len(live_p)), size)
-            key = few_t[at] * self.n + live_k[owner]
-            total = total + np.bincount(owner, weights=self.weights(key), minlength=len(live_p))
-        hit = total >= least
-        return live_p[hit], live_k[hit], total[hit]
+            total = total + np.bincount(owner, weights=self.weights(few_t[at], live_u[owner]), minlength=len(live_p))
+        hit = total >= 1 - SLACK
+        return live_p[hit], live_u[hit], total[hit]
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each start to its end, one range after the other, and the sizes."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size), size
 
 
 def runs(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
     """Maximal equal runs of at least two words: (item position, text position, length)."""
+    item = item.astype(np.int64)
     top = int(max(item.max(initial=0), text.max(initial=0))) + 2
     a, b = item[:-1] * top + item[1:], text[:-1] * top + text[1:]
     b = np.where((text[:-1] < 0) | (text[1:] < 0), -1, b)
@@ -164,16 +218,16 @@ def stretch(found: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]
     """The heaviest chain of runs: (words, item from, item to, text from, text to)."""
     best = [r[2] for r in found]
     back = [-1] * len(found)
-    low = 0
+    live: list[int] = []  # runs that end late enough in the text to be gone on from
     for s, (i, j, n) in enumerate(found):
-        while found[low][1] + 400 < j:
-            low += 1
-        for r in range(low, s):
+        live = [r for r in live if found[r][1] + found[r][2] + BREAK >= j]
+        for r in live:
             a, b, m = found[r]
             gap_i, gap_j = i - (a + m), j - (b + m)
             over = max(0, -gap_i, -gap_j)
             if a < i and b < j and over < n and gap_i <= BREAK and gap_j <= BREAK and best[r] + n - over > best[s]:
                 best[s], back[s] = best[r] + n - over, r
+        live.append(s)
     last = max(range(len(found)), key=lambda s: best[s])
     first = last
     while back[first] >= 0:
@@ -232,29 +286,26 @@ def _passages(docs: list[np.ndarray], n_terms: int) -> tuple[np.ndarray, np.ndar
     return code // n_terms, code % n_terms, np.array(owner)
 
 
-def _search(shared, threshold: float, coverage: float):
+def _search(shared, coverage: float):
     def found(index: ItemIndex, docs: list, texts: list[np.ndarray]) -> list[tuple]:
         passage, term, owner = _passages(texts, index.n_terms)
-        ps, ks, scores = index.search(passage, term, len(owner), threshold)
+        ps, us, scores = index.search(passage, term, len(owner))
         shares: dict[tuple[int, int], float] = {}
-        for d, k, s in zip(owner[ps].tolist(), ks.tolist(), scores.tolist(), strict=True):
+        for d, k, s in zip(owner[ps].tolist(), index.owner[us].tolist(), scores.tolist(), strict=True):
             shares[d, k] = max(s, shares.get((d, k), 0.0))
-        rows, last, marked = [], -1, None
+        rows = []
+        least = np.maximum(1, np.ceil(BIGRAMS * coverage * index.n_pairs)).tolist()
+        equal = index.shared_pairs(texts) if shares else {}
         for (d, k), s in sorted(shares.items()):
-            ids = texts[d]
-            if d != last:
-                last, pairs = d, ids[:-1] * index.n_terms + ids[1:]
-                pairs = np.sort(pairs[(ids[:-1] >= 0) & (ids[1:] >= 0)])
-            if not len(pairs) or not len(index.bigrams[k]):
-                continue
-            slot = np.minimum(np.searchsorted(pairs, index.bigrams[k]), len(pairs) - 1)
-            if (pairs[slot] == index.bigrams[k]).sum() < BIGRAMS * coverage * len(index.bigrams[k]):
+            if equal.get((d, k), 0) < least[k]:
                 continue
+            ids = texts[d]
             share, n, first = covered(index.items[k], ids, coverage)
             if share >= coverage:
                 marked = set(ids.tolist())
                 question = index.questions[k]
-                rows.append((docs[d], index.ids[k], s, share, n, first, len(question & marked) / len(question) if question else None))
+                asked = len(question & marked) / len(question) if question else None
+                rows.append((docs[d], index.ids[k], s, share, n, first, asked, asked is not None and asked >= QUESTION))
         return rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,6 +341,6 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, cover
     for k in range(blocks):
         part = kept if blocks == 1 else kept.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         rows = part.orderBy("item_id").collect()  # at most about index_bytes of text
-        index = ItemIndex([r.item_id for r in rows], [r.text for r in rows], [r.question for r in rows])
-        out.append(texts.mapInPandas(_search(context.broadcast(index), threshold, coverage), FOUND))
+        index = ItemIndex([r.item_id for r in rows], [r.text for r in rows], [r.question for r in rows], threshold, coverage)
+        out.append(texts.mapInPandas(_search(context.broadcast(index), coverage), FOUND))
     return reduce(DataFrame.unionByName, out)

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -293,18 +294,39 @@ def item(seed, n=60):
     return " ".join(f"{rng.choice('bcdfgk')}{rng.choice('aeiou')}{rng.randrange(900)}" for _ in range(n))
 
 
-def test_search_finds_what_brute_force_finds():
-    texts = [item(k) + " the of and" for k in range(40)]
-    index = leakage.ItemIndex(list(range(40)), texts, [None] * 40)
-    words = [leakage.words_of(" ".join([texts[3][:160], texts[17][100:260], "other words"])), leakage.words_of(texts[8])]
+@pytest.mark.parametrize("threshold", [0.2, 0.75, 2.0])
+def test_search_finds_what_brute_force_finds(threshold, monkeypatch):
+    texts = [item(k) + " the of and" for k in range(40)] + [item(k, 700) for k in range(40, 44)]
+    index = leakage.ItemIndex(list(range(44)), texts, [None] * 44, threshold)
+    assert index.n > 60 and len(index.weight) <= 2 * sum(len(x) for x in index.items)
+    words = [leakage.words_of(" ".join([texts[3][:160], texts[17][100:260], "other words"])), leakage.words_of(texts[8]), leakage.words_of(texts[41][900:3000])]
     docs = [np.array([index.vocabulary.get(w, -1) for w in ws]) for ws in words]
     passage, term, owner = leakage._passages(docs, index.n_terms)
     dense = np.zeros((index.n_terms, index.n))
-    dense[index.term, index.item] = index.weight
-    for least in (0.05, 0.2, 0.5):
-        p, k, s = index.search(passage, term, len(owner), least)
-        want = {(i, j): v for i in range(len(owner)) for j, v in enumerate(dense[np.unique(term[passage == i])].sum(0)) if v >= least}
-        assert {(a, b) for a, b in zip(p.tolist(), k.tolist(), strict=True)} == set(want) and all(abs(want[a, b] - c) < 1e-5 for a, b, c in zip(p, k, s, strict=True))
+    dense[index.key // index.n, index.unit] = index.weight
+    want = {(i, j): v * index.least[j] for i in range(len(owner)) for j, v in enumerate(dense[np.unique(term[passage == i])].sum(0)) if v >= 1}
+    for cells in (1 << 22, 150):
+        monkeypatch.setattr(leakage, "CELLS", cells)
+        p, k, s = index.search(passage, term, len(owner))
+        assert {(a, b) for a, b in zip(p.tolist(), k.tolist(), strict=True)} == set(want) and all(abs(want[a, b] - c) < 1e-6 for a, b, c in zip(p, k, s, strict=True))
+
+
+@pytest.mark.parametrize(("n", "every"), [(100, 0), (900, 0), (1100, 0), (3000, 0), (2700, 450), (2700, 390), (3000, 9)])
+def test_long_items_are_found(n, every):
+    """Items of any length, whole or with single words changed, and two fifths of them in two stretches."""
+    words = item(n, n).split()
+    items = [" ".join(words), *(item(k) for k in range(20))]
+    index = leakage.ItemIndex(list(range(21)), items, [None] * 21)
+    text = [("changed" if every and i % every == 7 else w) for i, w in enumerate(words)]
+    fifth = int(n / 5 * (1.25 if every else 1)) + 1
+    parts = text[:fifth] + item(77, 400).split() + text[-fifth:]
+
+    class Shared:
+        value = index
+
+    for doc in (text, item(78, 999).split() + text, parts):
+        rows = pd.concat(leakage._search(Shared, leakage.COVERAGE)(iter([pd.DataFrame({"doc_id": [1], "text": [" ".join(doc)]})])))
+        assert rows.item_id.tolist() == [0] and rows.coverage[0] >= (0.4 if doc is parts else 0.85)
 
 
 def test_leaks(spark):
