@@ -42,8 +42,8 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups with one row that no other row beats, and that row."""
-    return p4_survivors(spark, sf_dir).where("dominates and (canonical_name is not null or n_names = 0)").select("case_id", "group_id", "candidate_id")
+    """Groups whose surviving row falls short of the voted record in no respect, and that row."""
+    return p4_survivors(spark, sf_dir).where("dominates").select("case_id", "group_id", "candidate_id")
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +132,7 @@ def queries() -> dict:
 
 
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WORD = r"[\p{L}\p{N}\p{M}_]+"
 _FILL = ", ".join(f"'{x}'" for x in survivors.FILLERS)
 _TRIM = lambda c: f"regexp_replace({c}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 _TEXT = lambda c: f"CAST({_TRIM(c)} <> '' AND lower({_TRIM(c)}) NOT IN ({_FILL}) AS INT)"
@@ -153,4 +154,14 @@ def oracle_sql() -> dict[str, str]:
               FROM candidate_entities c JOIN (SELECT DISTINCT case_id, group_id FROM resolution_groups) g ON c.case_id = g.case_id AND c.group_id = g.group_id),
             m AS (SELECT *, max(usable) OVER w AS u, max(conf) OVER w AS k, max(seen) OVER w AS l FROM r WINDOW w AS (PARTITION BY case_id, group_id))
             SELECT case_id, group_id, min(candidate_id) AS candidate_id FROM m WHERE usable = u AND conf = k AND seen = l GROUP BY case_id, group_id""",
+        # words of an item that stand in runs of at least four equal words
+        "p7_found": f"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE text IS NOT NULL),
+            i AS (SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM eval_items WHERE text IS NOT NULL),
+            ip AS (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS p FROM i),
+            ig AS (SELECT item_id, len(w) AS n, p, array_to_string(w[p:p + 3], ' ') AS g FROM ip),
+            dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d),
+            dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g FROM dp),
+            m AS (SELECT DISTINCT doc_id, item_id, n, p + o AS at FROM ig JOIN dg ON ig.g = dg.g CROSS JOIN (VALUES (0), (1), (2), (3)) t(o))
+            SELECT doc_id, item_id FROM m GROUP BY doc_id, item_id, n HAVING count(*) >= {leakage.COVERAGE} * n""",
     }

@@ -188,12 +188,47 @@ def test_survivors(spark):
     assert survivors.survivors(spark.createDataFrame([], CANDIDATE)).count() == 0
 
 
-def test_consensus_is_the_same_in_chunks(spark):
-    rows = [("k", f"alpha beta gamma v{i}", 1.0) for i in range(40)] + [("k", "alpha beta gamma", 30.0), ("k", "", 9.0), ("j", "one", 1.0)]
-    df = spark.createDataFrame(rows, "k string, value string, w double")
-    for chunk in (256, 8):
-        got = {r.k: r.survivor for r in survivors.consensus(df, ["k"], chunk).collect()}
-        assert got == {"k": "alpha beta gamma", "j": "one"}
+def test_consensus(spark):
+    rows = [("k", f"alpha beta gamma v{i}", 1) for i in range(40)] + [("k", "alpha beta gamma", 30), ("k", "", 9), ("j", "one", 1), ("l", "a_b_c", 2), ("l", "a x b c", 3), ("l", "a x c", 3)]
+    got = {r.k: (r.consensus, r.survivor) for r in survivors.consensus(spark.createDataFrame(rows, "k string, value string, w long"), ["k"]).collect()}
+    assert got == {"k": ("alpha beta gamma", "alpha beta gamma"), "j": ("one", "one"), "l": ("a x b c", "a x b c")}
+
+
+def test_consensus_does_not_depend_on_the_spread(spark):
+    rng = random.Random(4)
+    rows = []
+    for g in range(30):
+        words = [f"{rng.choice('abcdef')}{k}" for k in range(6)]
+        for _ in range(300 if g == 0 else 12):
+            value = [w if rng.random() < 0.8 else rng.choice("abcxyz") + w[1:] for w in words if rng.random() < 0.85]
+            rows.append((g, " ".join(value), rng.randrange(1, 5)))
+    got = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows[::-1] if parts > 1 else rows, "g long, value string, w long").repartition(parts)
+        got.append({(r.g, r.consensus, r.survivor) for r in survivors.consensus(df, ["g"]).collect()})
+    alone = survivors.consensus(spark.createDataFrame([r for r in rows if r[0] == 3], "g long, value string, w long"), ["g"]).first()
+    assert got[0] == got[1] and (3, alone.consensus, alone.survivor) in got[0]
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abcd"), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_columns(guide, tokens):
+    made = survivors.columns(guide, tokens)
+    assert len(made) == len(tokens) and made == sorted(set(made))
+    assert all(-1 <= c < len(guide) for c, _ in made) and survivors.columns(guide, guide) == [(k, 0) for k in range(len(guide))]
+
+
+def test_survivor_is_the_row_nearest_to_the_vote(spark):
+    """Without a row that leads in all respects the one closest to the voted record survives."""
+    from datetime import datetime
+
+    t = [datetime(2024, 1, k) for k in range(1, 6)]
+    rows = [
+        (1, "c", "g", "odd name", "a.pdf", 9.0, 1.0, "x", 0.9, t[0]), (2, "c", "g", "acme works ltd", "f.pdf", 1.0, 2.0, "text", 0.9, t[1]),
+        (3, "c", "g", "acme works ltd", "f.pdf", 1.0, 2.0, "text", 0.8, t[2]), (4, "c", "g", "acme wrks ltd", "f.pdf", 1.0, None, "text", 0.4, t[3]),
+    ]
+    got = survivors.survivors(spark.createDataFrame(rows, CANDIDATE)).first()
+    assert (got.candidate_id, got.dominates, got.canonical_name, got.source_pdf, got.source_page, got.source_line) == (2, False, "acme works ltd", "f.pdf", 1, 2)
 
 
 # 5: personal information ----------------------------------------------------------------------
