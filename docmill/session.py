@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """Run df once and cut its lineage; the rows survive the loss of an executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Run df once into a compressed table in the shared folder: (the table, what deletes it).
+
+    For what is read several times and only in part: a scan reads the columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+
+    def release() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.schema(df.schema).parquet(path), release
