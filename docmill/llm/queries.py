@@ -122,9 +122,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus by subject, in sentences."""
-    parts = subjects.composition(*_subject_inputs(spark, sf_dir)).where("sentences > 0")
-    return parts.groupBy("subject_name").agg(F.sum("sentences").alias("sentences"), F.count("*").alias("documents"))
+    """The corpus by subject: sentences, documents with any, and the sum of the documents' mixtures."""
+    parts = subjects.composition(*_subject_inputs(spark, sf_dir))
+    return parts.groupBy("subject_name").agg(F.sum("sentences").alias("sentences"), F.count_if(F.col("sentences") > 0).alias("documents"), F.round(F.sum("mixture"), 3).alias("mixture"))
 
 
 def queries() -> dict:

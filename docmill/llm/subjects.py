@@ -5,8 +5,9 @@ multiplicative updates (Kullback-Leibler form).  One component is anchored to ea
 starts from the words that labelled documents of the subject use more than chance allows and
 from a short list of its terms, and anchor terms belong to no other component.  A few more
 components, one for each language and free of anchors, take up the wording common to all cases.
-The factors give each term's share of every subject; a sentence deals with the subject that its
-decided terms weigh for, and a document with every subject that has a fifth of its sentences.
+The document factor is each document's mixture of subjects.  It splits every term of the document
+among the components; a sentence deals with the subject that gets most of its decided terms, and
+a document with every subject that has a fifth of its sentences.
 
 Scale: the matrix lives in Spark, a row for each document.  A pass fits the document factor
 where the row is and sends only sums by term, combined before the shuffle; the driver holds the
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.session import materialize
+from docmill.session import materialize, stored
 
 OTHER = "universal"
 LABELS = 50_000
@@ -44,6 +45,8 @@ PASSES, INNER = 8, 3
 AT_ONCE = 256
 PRIOR = 0.3
 DECIDED, ENOUGH, SHARE = 0.5, 0.9, 0.2
+#: How far a document's mixture leads its sentences: 0 not at all, 1 as far as the factors say.
+TEMPER = 0.25
 LANGUAGES = ["en", "es", "fr"]
 
 #: Terms of each subject in English, Spanish and French; _ joins neighbours, words of one or two letters left out.
@@ -198,8 +201,14 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(np.append(term[begins], -1)), pa.array(np.append(counts, batch.num_rows))], names=["term", "n"])
 
 
+MATRIX = "doc_id long, lang string, terms array<int>, counts array<int>, ids array<int>, sizes array<int>"
+
+
 def _known(shared):
-    """Words and pairs as places in the vocabulary; unknown ones drop out, sentences stay."""
+    """Words and pairs as places in the vocabulary; unknown ones drop out, sentences stay.
+
+    terms and counts are the document's row of the matrix, ids and sizes its sentences.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
@@ -210,11 +219,10 @@ def _known(shared):
             at, sentence = at[hit].astype(np.int32), sentence[hit]
             sizes, doc = _lists(batch, "sizes")
             in_sentence = np.bincount(sentence, minlength=len(sizes)).astype(np.int32)
-            ends = np.cumsum(np.bincount(doc, weights=in_sentence, minlength=batch.num_rows)).astype(np.int32)
-            cuts = np.cumsum(np.bincount(doc, minlength=batch.num_rows)).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(at))
-            sizes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], cuts)).astype(np.int32)), pa.array(in_sentence))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), ids, sizes], names=["doc_id", "lang", "ids", "sizes"])
+            cell, count = np.unique(doc[sentence] * len(vocabulary) + at, return_counts=True)
+            lists = lambda values, owner, weights=None: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, weights=weights, minlength=batch.num_rows))).astype(np.int32)), pa.array(values.astype(np.int32)))
+            made = [lists(cell % len(vocabulary), cell // len(vocabulary)), lists(count, cell // len(vocabulary)), lists(at, doc, in_sentence), lists(in_sentence, doc)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *made], names=["doc_id", "lang", "terms", "counts", "ids", "sizes"])
 
     return run
 
@@ -226,6 +234,27 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
 
+def document_factor(h: np.ndarray, terms: np.ndarray, counts: np.ndarray, row: np.ndarray, n: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """(w[k, n], p[k, entries]): the mixture of each document, and what each entry gives to each component.
+
+    h[k, entries] is the term factor of the entries; components come before entries, so that
+    every step runs over whole rows of one component.
+    """
+    k = len(h)
+    w = np.full((k, n), 1.0 / k, dtype=np.float32)
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    p = np.zeros_like(h)
+    for _ in range(inner):
+        p = np.take(w, row, axis=1)
+        p *= h
+        p *= counts / (p.sum(axis=0) + np.float32(1e-30))
+        w = np.full((k, n), 0.02, dtype=np.float32)
+        if len(starts):
+            w[:, row[starts]] += np.add.reduceat(p, starts, axis=1)
+        w /= w.sum(axis=0)
+    return w, p
+
+
 def _sums(shared, n_terms: int, inner: int):
     """Each partition's part of the numerator of the term factor, a row for each term.
 
@@ -236,32 +265,19 @@ def _sums(shared, n_terms: int, inner: int):
         h = np.ascontiguousarray(shared.value.T, dtype=np.float32) if shared is not None else None
         total = None
         for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
-            ids, row = _lists(batch, "ids")
+            terms, row = _lists(batch, "terms")
+            counts = _lists(batch, "counts")[0].astype(np.float32)
             n = batch.num_rows
-            # components before entries: every step runs over whole rows of one component
             if h is None:
                 w = np.array(batch.column("w").to_pylist(), dtype=np.float32).reshape(n, -1).T
-                k = len(w)
-                p = w[:, row]
+                p = w[:, row] * counts
             else:
-                k = len(h)
-                own = np.take(h, ids, axis=1)
-                w = np.full((k, n), 1.0 / k, dtype=np.float32)
-                starts = np.flatnonzero(np.diff(row, prepend=-1))
-                present = row[starts]
-                for _ in range(inner):
-                    p = np.take(w, row, axis=1)
-                    p *= own
-                    p *= 1.0 / (p.sum(axis=0) + np.float32(1e-30))
-                    w = np.full((k, n), 0.02, dtype=np.float32)
-                    if len(starts):
-                        w[:, present] += np.add.reduceat(p, starts, axis=1)
-                    w /= w.sum(axis=0)
-            order = np.argsort(ids, kind="stable")
-            some = ids[order]
+                p = document_factor(np.take(h, terms, axis=1), terms, counts, row, n, inner)[1]
+            order = np.argsort(terms, kind="stable")
+            some = terms[order]
             begins = np.flatnonzero(np.diff(some, prepend=-1))
             if total is None:
-                total = np.zeros((n_terms, k))
+                total = np.zeros((n_terms, len(p)))
             if len(begins):
                 total[some[begins]] += np.add.reduceat(np.take(p, order, axis=1), begins, axis=1).T
         if total is not None:
@@ -279,19 +295,35 @@ def _gather(rows: DataFrame, shared, n_terms: int, k: int, columns: list[str], i
     return out
 
 
-def _judge(shared, names: list[str]):
+def _judge(shared, names: list[str], inner: int = INNER):
+    """What each document's sentences deal with, by its own mixture.
+
+    A term speaks for a subject where the term factor decides so, with the part of it that the
+    document factor gives to the subject in this document.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = shared.value
+        factor, decided = shared.value
+        h = np.ascontiguousarray(factor.T, dtype=np.float32)
+        said = np.ascontiguousarray(decided.T, dtype=np.float32)
         k = len(names)
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
+            n = batch.num_rows
+            terms, row = _lists(batch, "terms")
+            w, _ = document_factor(np.take(h, terms, axis=1), terms, _lists(batch, "counts")[0].astype(np.float32), row, n, inner)
             ids, _ = _lists(batch, "ids")
             sizes, doc = _lists(batch, "sizes")
             sentence = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
-            weight = np.stack([np.bincount(sentence, weights=share[ids, j], minlength=len(sizes)) for j in range(k)], axis=1)
+            p = np.take(w**TEMPER, doc[sentence], axis=1)
+            p *= np.take(h, ids, axis=1)
+            p /= p.sum(axis=0) + np.float32(1e-30)
+            p = p[:k] * np.take(said, ids, axis=1)
+            weight = np.stack([np.bincount(sentence, weights=p[j], minlength=len(sizes)) for j in range(k)], axis=1)
             best = weight.argmax(axis=1)
             dealt = np.where(weight[np.arange(len(sizes)), best] >= ENOUGH, best, k)
-            counts = np.bincount(doc * (k + 1) + dealt, minlength=batch.num_rows * (k + 1)).reshape(-1, k + 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts.sum(axis=1)), *(pa.array(counts[:, j]) for j in range(k))], names=["doc_id", "n_sentences", *(f"s{j}" for j in range(k))])
+            counts = np.bincount(doc * (k + 1) + dealt, minlength=n * (k + 1)).reshape(-1, k + 1)
+            made = [pa.array(counts.sum(axis=1)), *(pa.array(counts[:, j]) for j in range(k)), *(pa.array(w[j].astype(np.float64)) for j in range(k))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_sentences", *(f"s{j}" for j in range(k)), *(f"w{j}" for j in range(k))])
 
     return run
 
@@ -314,9 +346,9 @@ def telling(inside: np.ndarray, outside: np.ndarray, n_inside: float, n_outside:
 def _differing(coded: DataFrame, frequent: np.ndarray, shares: DataFrame, k: int) -> np.ndarray:
     """Those of the frequent terms that tell of a subject by the labelled documents."""
     context = coded.sparkSession.sparkContext
-    known = coded.join(shares.select("doc_id"), "doc_id", "left_semi").mapInArrow(_known(context.broadcast(frequent)), "doc_id long, lang string, ids array<int>, sizes array<int>")
-    given = known.join(shares, "doc_id").select(F.array_distinct("ids").alias("ids"), "w")
-    documents = _gather(given, None, len(frequent), k, ["ids", "w"])
+    known = coded.join(shares.select("doc_id"), "doc_id", "left_semi").mapInArrow(_known(context.broadcast(frequent)), MATRIX)
+    given = known.join(shares, "doc_id").select("terms", F.transform("terms", lambda t: F.lit(1)).alias("counts"), "w")
+    documents = _gather(given, None, len(frequent), k, ["terms", "counts", "w"])
     sums = coded.select("doc_id").join(shares, "doc_id").agg(*[F.sum(F.col("w")[j]) for j in range(k)]).first()
     labelled = np.array([x or 0.0 for x in sums])
     found = np.zeros(len(frequent), dtype=bool)
@@ -325,15 +357,15 @@ def _differing(coded: DataFrame, frequent: np.ndarray, shares: DataFrame, k: int
     return frequent[found]
 
 
-def fit(rows: DataFrame, vocabulary: np.ndarray, shares: DataFrame, names: list[str]) -> np.ndarray:
-    """The share of each subject in each term, 0 where it is not decided."""
+def fit(rows: DataFrame, vocabulary: np.ndarray, shares: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(term factor, the share of each subject in each term, 0 where it is not decided)."""
     context = rows.sparkSession.sparkContext
     index = {t: i for i, t in enumerate(vocabulary.tolist())}
     n, k = len(vocabulary), len(names)
     spoken = [F.when(F.lower("lang") == x, 1.0).otherwise(0.0) for x in LANGUAGES]
     own = F.coalesce("w", F.array(*[F.lit(0.0)] * k))
     given = rows.join(shares, "doc_id", "left").withColumn("w", F.concat(own, F.array(*spoken, F.lit(1.0))))
-    both = _gather(given, None, n, k + len(spoken) + 1, ["ids", "w"])
+    both = _gather(given, None, n, k + len(spoken) + 1, ["terms", "counts", "w"])
     labelled, common = both[:, :k], both[:, k:]
     base = common[:, -1] / max(common[:, -1].sum(), 1.0)
     anchor = np.zeros((n, k))
@@ -358,21 +390,21 @@ def fit(rows: DataFrame, vocabulary: np.ndarray, shares: DataFrame, names: list[
     mask[fixed, k:] = 0
     h = unit(np.hstack([0.8 * seed + 0.2 * base[:, None], unit(common[:, :free] + 0.01)]) * mask)
     for _ in range(PASSES):
-        got = _gather(rows, context.broadcast(h), n, k + free, ["ids"])
+        got = _gather(rows, context.broadcast(h), n, k + free, ["terms", "counts"])
         mass = got.sum(axis=0)
         got[:, :k] += PRIOR * got[:, :k].sum(axis=0) * seed
         h = unit((got + 1e-4) * mask)
     share = h * mass
     share /= share.sum(axis=1, keepdims=True) + 1e-30
-    return np.where(share[:, :k] >= DECIDED, share[:, :k], 0.0)
+    return h, np.where(share[:, :k] >= DECIDED, share[:, :k], 0.0)
 
 
 def composition(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, lang, text) -> (doc_id, n_sentences, subject_name, sentences), a row for each subject that has any."""
+    """docs(doc_id, lang, text) -> (doc_id, n_sentences, subject_name, sentences, mixture), a row for each subject."""
     context = docs.sparkSession.sparkContext
     names = sorted(r[0] for r in areas.select("subject_name").where(f"subject_name is not null and subject_name <> '{OTHER}'").distinct().collect())  # a fixed short list
     texts = docs.select("doc_id", "lang", "text").where("doc_id is not null and text is not null")
-    coded = materialize(texts.mapInPandas(_rows, "doc_id long, lang string, codes array<int>, sizes array<int>"))
+    coded, release = stored(texts.mapInPandas(_rows, "doc_id long, lang string, codes array<int>, sizes array<int>"))
     counts = materialize(coded.select("codes", "sizes").mapInArrow(_document_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
     n_docs = counts.where("term = -1").agg(F.max("n")).first()[0] or 0
     least = max(MIN_DOCS, int(MIN_SHARE * n_docs))
@@ -387,13 +419,14 @@ def composition(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFra
     vocabulary = np.sort(vocabulary)
     if not len(vocabulary):
         vocabulary = np.array([-1], dtype=np.int64)
-    matrix = materialize(coded.mapInArrow(_known(context.broadcast(vocabulary)), "doc_id long, lang string, ids array<int>, sizes array<int>"))
-    share = fit(matrix, vocabulary, shares, names)
-    kind = "doc_id long, n_sentences long, " + ", ".join(f"s{j} long" for j in range(len(names)))
-    judged = matrix.select("doc_id", "ids", "sizes").mapInArrow(_judge(context.broadcast(share), names), kind)
-    pairs = F.array(*[F.struct(F.lit(s).alias("subject_name"), F.col(f"s{j}").alias("sentences")) for j, s in enumerate(names)])
+    matrix, _ = stored(coded.mapInArrow(_known(context.broadcast(vocabulary)), MATRIX))  # read by the result, so it stays
+    release()
+    factors = fit(matrix, vocabulary, shares, names)
+    kind = "doc_id long, n_sentences long, " + ", ".join([*(f"s{j} long" for j in range(len(names))), *(f"w{j} double" for j in range(len(names)))])
+    judged = matrix.select("doc_id", "terms", "counts", "ids", "sizes").mapInArrow(_judge(context.broadcast(factors), names), kind)
+    pairs = F.array(*[F.struct(F.lit(s).alias("subject_name"), F.col(f"s{j}").alias("sentences"), F.col(f"w{j}").alias("mixture")) for j, s in enumerate(names)])
     rest = F.col("n_sentences") - sum(F.col(f"s{j}") for j in range(len(names)))
-    pairs = F.concat(pairs, F.array(F.struct(F.lit(OTHER).alias("subject_name"), rest.alias("sentences"))))
+    pairs = F.concat(pairs, F.array(F.struct(F.lit(OTHER).alias("subject_name"), rest.alias("sentences"), (1 - sum(F.col(f"w{j}") for j in range(len(names)))).alias("mixture"))))
     return judged.select("doc_id", "n_sentences", F.inline(pairs))
 
 
