@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.operators import retrieval
+from docmill.session import materialize
 
 #: Relations that only say that two names stand together.
 WEAK = ["CO_OCCURS_WITH", "CO_OCCURS", "COOCCURS_WITH"]
@@ -52,6 +53,79 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def within(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, types: list[str] | None = None, k: int = 200) -> DataFrame:
+    """nodes(node, label, ...) within hops of the seeds, of the given types, with degree: the k of the highest degree, and the seeds that are not among them.
+
+    Edges and nodes of one case give a traversal of that case.
+    """
+    kept = nodes.where(F.col("label").isin(types)) if types else nodes
+    reached = kept.join(traverse(edges, seeds, hops).select("node"), "node", "left_semi").join(degree(nodes, edges).distinct(), "node")
+    best = reached.orderBy(F.desc("degree"), "node", "label").limit(k)
+    missing = by_name(kept, edges, seeds).join(best.select("node"), "node", "left_anti")
+    return best.unionByName(missing.select(*best.columns))
+
+
+def by_name(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """nodes of the given names with their degree; only edges at those names are counted."""
+    n = names.select("node").distinct()
+    found = nodes.join(n, "node", "left_semi")
+    near = edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst").unionByName(edges.where("src <> dst").join(n.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return found.join(near.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def connect(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges(case_id, src, rel, dst, confidence, source, seq) whose ends are nodes(case_id, node, label) of their case, upserted.
+
+    Labels do not matter: an end that stands under several labels is met under each.  An edge
+    keeps its first source and the highest confidence.
+    """
+    ends = nodes.select("case_id", "node", "label")
+    a = ends.select("case_id", F.col("node").alias("src"), F.col("label").alias("src_label"))
+    b = ends.select("case_id", F.col("node").alias("dst"), F.col("label").alias("dst_label"))
+    once = edges.withColumn("rel", T.relation_type(F.col("rel"))).groupBy("case_id", "src", "rel", "dst").agg(F.max("confidence").alias("confidence"), F.min_by("source", "seq").alias("source"))
+    return once.join(a, ["case_id", "src"]).join(b, ["case_id", "dst"]).select("case_id", "src", "src_label", "rel", "dst", "dst_label", "confidence", "source")
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(case_id, label, nodes, edges) for each label, each case and all; edges by their own case."""
+    n = nodes.rollup("case_id", "label").agg(F.count("*").alias("nodes")).select(F.coalesce("case_id", F.lit("all")).alias("case_id"), F.coalesce("label", F.lit("all")).alias("label"), "nodes")
+    e = edges.rollup("case_id").agg(F.count("*").alias("edges")).select(F.coalesce("case_id", F.lit("all")).alias("case_id"), F.lit("all").alias("label"), "edges")
+    return n.join(e, ["case_id", "label"], "left").withColumn("edges", F.when(F.col("label") == "all", F.coalesce("edges", F.lit(0))))
+
+
+def cross_case(nodes: DataFrame, name: str, exclude: str | None = None) -> DataFrame:
+    """(case_id, node, label) of a name in all cases but one, in order of case; without a case to leave out all come."""
+    found = nodes.where(F.col("name") == name)
+    return (found if exclude is None else found.where(~F.col("case_id").eqNullSafe(exclude))).select("case_id", "name", "label").orderBy("case_id", "label")
+
+
+def search(nodes: DataFrame, edges: DataFrame, question: list[str], seeds: DataFrame, vectors_: DataFrame | None, k: int, hops: int, types: list[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """(scored nodes(node, node_score), triples, escalated): traversal from the seeds, and where that is not sufficient from the names of the nearest vectors too.
+
+    nodes(node, name, label, text, confidence), edges(src, rel, dst), vectors_(node, similarity) are
+    the nearest names by vector, best first; a node with a similarity takes it as its relevance.
+    Nodes of the second search come before those that only the first one found.
+    """
+
+    def run(start: DataFrame, similar: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = within(nodes, edges, start, hops, types).withColumn("rel", relevance(question, F.col("name"), F.coalesce("text", F.lit(""))))
+        if similar is not None:
+            rows = rows.join(F.broadcast(similar), "node", "left").withColumn("rel", F.coalesce("similarity", "rel"))
+        scored = materialize(node_scores(rows, k))
+        return scored, materialize(subgraph(edges, scored).select("src", "rel", "dst").distinct())
+
+    scored, triples = run(seeds, None)
+    told = nodes.join(scored.select("node"), "node", "left_semi")
+    if vectors_ is None or sufficiency(told, triples).first().is_sufficient:
+        return scored, triples, False
+    near = materialize(vectors_)
+    more = seeds.select("node").unionByName(near.orderBy(F.desc("similarity"), "node").limit(SEEDS).select("node")).distinct()
+    second, more_triples = run(more, near)
+    extra = scored.join(second.select("node"), "node", "left_anti")
+    both = second.withColumn("o", F.lit(0)).unionByName(extra.withColumn("o", F.lit(1))).orderBy("o", F.desc("node_score"), "node").limit(k).drop("o")
+    return both, more_triples.unionByName(triples).distinct(), True
+
+
 def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     inside = nodes.select("node").distinct()

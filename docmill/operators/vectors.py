@@ -56,7 +56,44 @@ def nearest(rows: DataFrame, key: str, vector: str, query: list[float], k: int)
     return rows.select(key, F.round(dot(normalized(F.col(vector)), normalized(q)), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def rotate(triples: np.ndarray, entities: int, relations: int, dimensions: int = 32, epochs: int = 60, rate: float = 0.05, seed: int = 42) -> np.ndarray:
+def mean_vector(rows: DataFrame, key: str, vector: str, seeds: DataFrame) -> DataFrame:
+    """One row (query): the normalized mean of the vectors of the seeds(key); a handful of seeds."""
+    own = rows.join(F.broadcast(seeds.select(key).distinct()), key, "left_semi").select(F.posexplode(vector).alias("at", "x"))
+    mean = own.groupBy("at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("query")).select(normalized(F.col("query")).alias("query"))
+
+
+def nearest_to(rows: DataFrame, key: str, vector: str, query: DataFrame, k: int) -> DataFrame:
+    """(key, similarity): the k vectors with the greatest inner product with the query of one row."""
+    return rows.crossJoin(F.broadcast(query)).select(key, F.round(dot(normalized(F.col(vector)), F.col("query")), 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
+
+
+def attach(nodes: DataFrame, rows: DataFrame, key: str, vector: str, model: str) -> DataFrame:
+    """Nodes with their vector, its dimensions and the model's name; nodes without one keep nulls."""
+    v = rows.select(key, F.col(vector).alias("embedding"), F.size(vector).alias("dims"), F.lit(model).alias("model"))
+    return nodes.join(v, key, "left")
+
+
+def index_info(rows: DataFrame, vector: str) -> DataFrame:
+    """One row: vectors, dimensions, and whether all agree."""
+    return rows.agg(F.count(vector).alias("vectors"), F.max(F.size(vector)).alias("dims"), F.coalesce(F.min(F.size(vector)) == F.max(F.size(vector)), F.lit(False)).alias("consistent"))
+
+
+#: States of the training of a case in which it is not started.
+BUSY = ["training", "ready"]
+
+
+def start_training(status: Column) -> Column:
+    """The state after a start: nothing happens while training or when ready."""
+    return F.when(status.isin(BUSY), status).otherwise("training")
+
+
+def end_training(status: Column, triples: Column, least: int = 10) -> Column:
+    """The state after training: with too few triples it failed."""
+    return F.when(status == "training", F.when(triples >= least, "ready").otherwise("failed")).otherwise(status)
+
+
+def rotate(triples: np.ndarray, entities: int, relations: int, dimensions: int = 128, epochs: int = 100, rate: float = 0.05, seed: int = 42) -> np.ndarray:
     """Rotation embeddings by SGD with one negative a triple; real and imaginary parts side by side."""
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.3, (entities, dimensions)) + 1j * rng.normal(0, 0.3, (entities, dimensions))
@@ -76,7 +113,7 @@ def rotate(triples: np.ndarray, entities: int, relations: int, dimensions: int =
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def train_graph_embeddings(edges: DataFrame, case: str, least: int = 10, dimensions: int = 32) -> DataFrame:
+def train_graph_embeddings(edges: DataFrame, case: str, least: int = 10, dimensions: int = 64, epochs: int = 100) -> DataFrame:
     """edges(case, src, rel, dst) -> (case, entity, idx, vec): each case is trained by itself.
 
     Cases with fewer triples than least give no vectors.  The unit of work is the graph of one
@@ -91,7 +128,7 @@ def train_graph_embeddings(edges: DataFrame, case: str, least: int = 10, dimensi
         at, rt = {n: i for i, n in enumerate(names)}, {x: i for i, x in enumerate(rels)}
         direct = [(at[s], rt[r], at[d]) for s, r, d in zip(group["src"], group["rel"], group["dst"], strict=True)]
         inverse = [(d, r + len(rels), s) for s, r, d in direct]
-        v = rotate(np.array(sorted(direct + inverse)), len(names), 2 * len(rels), dimensions)
+        v = rotate(np.array(sorted(direct + inverse)), len(names), 2 * len(rels), dimensions, epochs)
         return pd.DataFrame({case: group[case].iloc[0], "entity": names, "idx": range(len(names)), "vec": [x.astype(np.float32) for x in v]})
 
     kind = edges.schema[case].dataType.simpleString()
