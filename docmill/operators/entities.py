@@ -74,7 +74,8 @@ def pairs(mentions: DataFrame, chunk: list[str], name: str, kind: str, order: st
 
 def batches(pair_rows: DataFrame, chunk: list[str], size: int = 10) -> DataFrame:
     w = Window.partitionBy(*chunk).orderBy("seq_a", "seq_b")
-    return pair_rows.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size))
+    place = F.row_number().over(w) - 1
+    return pair_rows.withColumn("batch_no", F.floor(place / size)).withColumn("pair_id", (place % size).cast("int"))
 
 
 def shared_sentences(text: Column, a: Column, b: Column, k: int = 4) -> Column:

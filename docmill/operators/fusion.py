@@ -69,9 +69,10 @@ def merge_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     """Two results of fuse_pages as one: the node of either, the higher scores, all passages (each once), citations, levels and scores anew."""
     rows = old.withColumn("o", F.lit(0)).unionByName(new.withColumn("o", F.lit(1)))
     out = rows.groupBy("name").agg(
-        F.max("schema_type").alias("schema_type"), F.max("graph_score").alias("graph_score"), F.max("tree_score").alias("tree_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("passages")))).alias("passages"), F.bool_or("graph").alias("graph"),
+        F.max("schema_type").alias("schema_type"), F.max("graph_score").alias("graph_score"), F.max("tree_score").alias("tree_score"), F.array_sort(F.flatten(F.collect_list("passages"))).alias("passages"), F.bool_or("graph").alias("graph"),
     )
-    return relevel(out)
+    first = F.filter("passages", lambda p, i: ~F.exists(F.slice("passages", F.lit(1), i), lambda q: q["key"] == p["key"]))  # a passage of both questions under its better score
+    return relevel(out.withColumn("passages", first))
 
 
 def merge_triples(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -269,7 +269,7 @@ SQL = {
         SELECT DISTINCT src, rel, dst FROM c WHERE NOT changed OR src <> dst""",
     "kge_vocab": f"WITH {_E} SELECT case_no, entity, row_number() OVER (PARTITION BY case_no ORDER BY entity) - 1 AS idx FROM (SELECT case_no, src AS entity FROM edges UNION SELECT case_no, dst FROM edges)",
     "fuse_scores": f"WITH {_FUSE.lstrip()} SELECT name, CASE WHEN g AND passages > 0 THEN 'HIGH' WHEN g OR passages > 0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level, passages, round(0.6 * graph_score + 0.4 * tree_score, 4) AS final_score FROM f",
-    "context_merge": f"""WITH {_FUSE.lstrip()}, m AS (SELECT name, max(graph_score) AS graph_score, max(tree_score) AS tree_score, sum(passages)::BIGINT AS passages FROM (SELECT * FROM f UNION ALL SELECT * FROM f WHERE passages > 0) GROUP BY name)
-        SELECT name, CASE WHEN graph_score > 0 AND passages > 0 THEN 'HIGH' WHEN graph_score > 0 OR passages > 0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level, passages, round(0.6 * graph_score + 0.4 * tree_score, 4) AS final_score FROM m""",
+    "context_merge": f"""WITH {_FUSE.lstrip()}, m AS (SELECT name, max(graph_score) AS graph_score, max(tree_score) AS tree_score, max(passages)::BIGINT AS passages, bool_or(g) AS g FROM (SELECT * FROM f UNION ALL SELECT * FROM f WHERE passages > 0) GROUP BY name)
+        SELECT name, CASE WHEN g AND passages > 0 THEN 'HIGH' WHEN g OR passages > 0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level, passages, round(0.6 * graph_score + 0.4 * tree_score, 4) AS final_score FROM m""",
     "relation_strength": f"WITH {_E} SELECT 'typed' AS strength, rel, count(*) AS n FROM edges GROUP BY rel",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import agent_queries, entity_queries, graph_queries, retrieval_queries, service_queries, state_queries, text_queries
+from docmill.plans import agent_queries, entity_queries, graph_queries, retrieval_queries, search_queries, service_queries, state_queries, text_queries
 
-MODULES = (retrieval_queries, text_queries, entity_queries, graph_queries, agent_queries, service_queries, state_queries)
+MODULES = (retrieval_queries, text_queries, entity_queries, graph_queries, agent_queries, service_queries, state_queries, search_queries)
 
 
 def queries() -> dict:

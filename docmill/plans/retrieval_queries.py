@@ -74,13 +74,25 @@ _LIST = ", ".join(f"'{t}'" for t in _TERMS)
 _HITS = " + ".join(f"CAST(contains(lower(x), '{t}') AS INT)" for t in _TERMS)
 _TRIM = lambda c: f"regexp_replace({c}, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g')"
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-_ASKED = ", ".join(f"('{t}', {QUESTION.count(t)})" for t in _TERMS)
-BM25 = f"""
+
+
+def bm25(question: list[str]) -> str:
+    asked = ", ".join(f"('{t}', {question.count(t)})" for t in dict.fromkeys(question))
+    return f"""
     WITH t AS (SELECT passage_id, {_tokens("coalesce(text, '')")} AS ts FROM passages), p AS (SELECT passage_id, token, count(*) AS tf FROM (SELECT passage_id, unnest(ts) AS token FROM t) GROUP BY 1, 2),
     s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t), r AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf0 FROM p, s GROUP BY token, n), f AS (SELECT 0.25 * avg(idf0) AS floor FROM r),
-    q(token, times) AS (VALUES {_ASKED})
+    q(token, times) AS (VALUES {asked})
     SELECT p.passage_id, round(sum(times * CASE WHEN idf0 < 0 THEN floor ELSE idf0 END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avgdl))), 6) AS score
     FROM p JOIN q ON p.token = q.token JOIN r ON r.token = q.token JOIN t ON t.passage_id = p.passage_id, f, s GROUP BY p.passage_id"""
+
+
+def lines(question: list[str]) -> str:
+    """The lines of a passage that hold most tokens of a question, as a list."""
+    hits = " + ".join(f"CAST(contains(lower(x), '{t}') AS INT)" for t in question)
+    return f"list_transform(list_filter(list_reverse_sort(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: {_TRIM('l')}), lambda x: x <> ''), lambda x: {{'hits': {hits}, 'line': x}}))[1:5], lambda s: s.hits > 0), lambda s: s.line)"
+
+
+BM25 = bm25(QUESTION)
 _COMPLEX = " OR ".join(f"contains(l, '{w}')" for w in fusion.COMPLEX_WORDS)
 _CLASS = f"""CASE WHEN regexp_matches(l, '\\b(relat|connect|link|between|stand to each other)') THEN 'RELATIONSHIP' WHEN regexp_matches(l, '^(why|how|explain|analy|compare)') THEN 'COMPLEX' WHEN {_COMPLEX} THEN 'COMPLEX' ELSE 'FACT' END"""
 
