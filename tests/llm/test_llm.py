@@ -58,16 +58,40 @@ def test_scan_repair_over_tables(spark):
     assert scans.repair(df.limit(0)).count() == 0
 
 
-def test_skip_gram_puts_words_of_one_context_together():
-    rng = np.random.default_rng(0)
-    n = np.zeros((6, 6))
-    for a, b in itertools.product(range(3), range(3)):
-        n[a, b] = n[3 + a, 3 + b] = 50
-    n += rng.integers(0, 3, n.shape)
-    u, _ = scans.skip_gram(np.arange(36), n.ravel(), 6, 8, 60)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    c = u @ u.T
+def test_skip_gram_puts_words_of_one_context_together(spark, monkeypatch):
+    n = np.ones((6, 6), dtype=np.int64)
+    n[:3, :3] = n[3:, 3:] = 50
+    found = []
+    for size in (64, 4):  # whatever the blocks, the vectors are the same
+        monkeypatch.setattr(scans, "BLOCK", size)
+        rows = [(k, [(a - k * size << scans.COUNT_BITS + scans.WORD_BITS) | (b << scans.COUNT_BITS) | int(n[a, b]) for a in range(k * size, min(6, k * size + size)) for b in range(6)]) for k in range(-(-6 // size))]
+
+        class Local:
+            """The blocks in place: the fit asks them for nothing but their gradients."""
+
+            sparkSession = spark
+
+            def mapInPandas(self, f, schema, rows=rows):  # noqa: N802
+                self.out = pd.concat(f(iter([pd.DataFrame(rows, columns=["block", "packed"])])))
+                return self
+
+            def toLocalIterator(self):  # noqa: N802
+                return self.out.itertuples()
+
+        u, _ = scans.skip_gram(Local(), n.sum(axis=1).astype(float), 8, 60)
+        found.append(u / np.linalg.norm(u, axis=1, keepdims=True))
+    c = found[0] @ found[0].T
     assert c[0, 1] > c[0, 4] and c[3, 5] > c[3, 1]
+    assert np.allclose(found[0], found[1], atol=1e-3)
+
+
+@given(st.text(alphabet="abcdefhilmnoprtuv015!ſé-", min_size=1, max_size=7))
+@settings(max_examples=300, deadline=None)
+def test_near_words_are_those_that_edits_reach(word):
+    words = {w: 9 for w in COMMON} | {w: 9 for w in ("cl", "ol", "in", "li", "hand", "did", "burn", "null", "tide", "void", "mill", "vain", "duel", "cold")}
+    lexicon_ = scans.Lexicon(words, None, None)
+    for w in (word, "c1aim", "rnilI", "vv0rd", "dicl", word.replace("m", "rn")):
+        assert set(lexicon_.near(w)) == {e for e in scans.edits(w) if e in words}
 
 
 # 2: names -------------------------------------------------------------------------------------
