@@ -30,7 +30,7 @@ ALSO = {"ted": "edward", "alex": "alexandra", "sam": "samantha", "chris": "chris
 #: Given names in wide use; they tell the given name from the surname where no comma does.
 GIVEN = set(NICKNAMES) | set(NICKNAMES.values()) | set("asha arvind bruno clara damian farida geeta hugo irfan kavita meera nikhil prakash rohan sunil tanvi ursula yusuf zainab anil amit ajay anita deepak ganesh gopal kiran lata manoj mohan neha nisha pooja priya rahul ramesh ravi rekha sanjay sarita suresh uma vijay vinod adam alan albert alice amy andrew anna arthur barbara carl carol cecil diana emily emma eric eva felix george grace henry jane julia karl laura linda lucy mark martin max nora olga paul peter rita rosa ruth sara simon sofia victor walter".split())
 #: Words for lines of business and their short forms.
-BUSINESS = set("realtors foods works cold storage auto components leasing paper industries agro products engineering chemicals printing services mills textile housing developers steel tubes garments export power systems trading corporation warehousing infrastructure projects shipping agencies pharma laboratories finance motors logistics exports imports enterprises construction constructions builders traders technologies solutions energy media hotels holdings investments plastics electricals packaging ceramics cement jewellers furniture pharmaceuticals transport properties estates fertilizers beverages dairy marine consultants associates company group international".split())
+BUSINESS = set("realtors foods works cold storage auto components leasing paper industries agro products engineering chemicals printing services mills textile housing developers steel tubes garments export power systems trading corporation warehousing infrastructure projects shipping agencies pharma laboratories finance motors logistics exports imports enterprises construction constructions builders traders technologies solutions energy media hotels holdings investments plastics electricals packaging ceramics cement jewellers furniture pharmaceuticals transport properties estates fertilizers beverages dairy marine consultants associates company group international university institute hospital foundation college".split())
 SHORT = {
     "comps": "components", "comp": "components", "shpg": "shipping", "agcs": "agencies", "agcy": "agencies", "hsg": "housing", "dev": "developers", "devs": "developers", "sys": "systems", "ph": "pharma", "labs": "laboratories", "lab": "laboratories",
     "tex": "textile", "txt": "textile", "proj": "projects", "projs": "projects", "infra": "infrastructure", "engg": "engineering", "eng": "engineering", "trdg": "trading", "trd": "trading", "corpn": "corporation", "corp": "corporation", "prods": "products", "prod": "products",
@@ -44,11 +44,19 @@ FORMS = [
     ("llp", re.compile(r"\bl\.? ?l\.? ?p\b\.?")),
     ("private", re.compile(r"(?:\bprivate|\bpvt\b\.?|\(p\)|\bp\b\.?) ?(?:limited|ltd\b\.?)?$|\b(?:private|pvt)\b\.?(?: (?:limited|ltd)\b\.?)?")),
     ("limited", re.compile(r"\b(?:limited|ltd)\b\.?")),
+    ("inc", re.compile(r"\b(?:inc|incorporated)\b\.?$")),
+    ("llc", re.compile(r"\bl\.? ?l\.? ?c\b\.?$")),
+    ("plc", re.compile(r"\bplc\b\.?$")),
+    ("gmbh", re.compile(r"\bgmbh\b\.?$")),
     ("sons", re.compile(r"(?:&|\band\b) ?son'?s?\b")),
     ("brothers", re.compile(r"\b(?:brothers|bros)\b\.?")),
 ]
 
 
+#: A word of a name in any script.
+LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]*)*")
+
+
 class Name(NamedTuple):
     kind: str  # person, firm, acronym or "" for anything else
     surnames: tuple[str, ...]  # possible surnames, or the firm's own name
@@ -147,14 +155,14 @@ def parse(text: str | None) -> Name:
     if not text:
         return nothing
     low = plain(text)
-    if re.search(r"\d", low):
+    if re.search(r"\d", low) and not any(p.search(low) for f, p in FORMS if f != "sons"):  # dates, amounts, places; a firm's name may hold a number
         return nothing
     bare = re.sub(r"[^a-z]", "", low)
     raw = text.strip()
     if 2 < len(bare) <= 8 and (" " not in raw or re.fullmatch(r"(?:\w\. ?)+\w?\.?", raw)) and (raw.isupper() or re.fullmatch(r"(?:\w\.)+", low)):
         return Name("acronym", (bare,), ((),), "")
     low = re.sub(r"\(advocate\)|\bm/s\.?", " ", low)
-    words = re.findall(r"[a-z']+", low)
+    words = LETTERS.findall(low)
     if not words or any(w in OTHER for w in words):
         return nothing
     form, rest = "", re.sub(r"\s+", " ", low).strip(" ,")
@@ -165,7 +173,7 @@ def parse(text: str | None) -> Name:
         if cut != rest and (not form or name in ("sons", "brothers", "limited")):
             form = form or name
             rest, firm = re.sub(r"\s+", " ", cut), True
-    tokens = [t for t in re.findall(r"[a-z']+", rest.replace("-", ""))]
+    tokens = re.findall(r"[^\W_]+(?:'[^\W_]*)*", rest.replace("-", ""))
     kinds = [business(t) for t in tokens]
     if firm or any(kinds) and sum(map(bool, kinds)) and any(len(t) > 3 for t, k in zip(tokens, kinds, strict=True) if k) and not any(given(t) for t in tokens if not business(t)):
         own = [t for t, k in zip(tokens, kinds, strict=True) if not k and t not in TITLES and t not in ("and", "coop", "m", "s", "of")]
@@ -178,7 +186,7 @@ def parse(text: str | None) -> Name:
             return nothing
         return Name("firm", ("".join(own),), (line,), form)
     head, comma, tail = rest.partition(",")
-    split = lambda s: [u for t in re.findall(r"[a-z']+", s) if t not in TITLES for u in (t if len(t) == 2 and t not in GIVEN else [t])]
+    split = lambda s: [u for t in LETTERS.findall(s) if t not in TITLES for u in (t if len(t) == 2 and t not in GIVEN else [t])]
     if comma and split(tail) and split(head):
         a, b = split(head), split(tail)
         return Name("person", ("".join(a),), (tuple(b),), "")
@@ -215,16 +223,27 @@ def same_given(a: str, b: str) -> bool:
     return x == y or near(x, y) or len(min(a, b, key=len)) >= 3 and (a.startswith(b) or b.startswith(a))
 
 
-def initial(token: str) -> str:
-    return (given(token) or token)[0]
+def letters(token: str) -> tuple[str, ...]:
+    """The initials that a given name may be written with."""
+    return tuple(sorted({token[0], (given(token) or token)[0]}))
+
+
+def forms(token: str) -> list[str]:
+    """The spellings by which a given name is looked up: its own, the full name it stands for, and both folded."""
+    full = given(token) or token
+    return sorted({token, full, fold(token), fold(full), ALSO.get(token, token)})
+
 
+def keys(name: Name) -> list[tuple[str, str, str, bool]]:
+    """(bucket, string, part, short) under which a name is looked up.
 
-def keys(name: Name) -> list[tuple[str, str]]:
-    """(bucket, string) under which a name is looked up."""
+    The part of a person is the given name of that reading, or its initial (short); the part of a
+    firm is each word of its line of business, of which the first is marked short, or nothing.
+    """
     if name.kind == "firm":
-        return [("f", fold(name.surnames[0]))]
+        return [("f", fold(name.surnames[0]), w, k == 0) for k, w in enumerate(dict.fromkeys(name.rest[0] or ("",)))]
     if name.kind == "person":
-        return sorted({(f"p{i}", fold(s)) for s, r in zip(name.surnames, name.rest, strict=True) if r for i in ((r[0][0], initial(r[0])) if len(r[0]) > 1 else (r[0],))})
+        return sorted({("p", fold(s), r[0], len(r[0]) == 1) for s, r in zip(name.surnames, name.rest, strict=True) if r})
     return []
 
 
