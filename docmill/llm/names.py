@@ -101,6 +101,26 @@ def distance(a: str, b: str, most: int) -> int:
     return row[m]
 
 
+def marks(word: str) -> int:
+    """The characters of a word as bits; an edit changes at most two of them."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) % 61)
+    return out
+
+
+def closest(word: str, known: list[tuple[str, int]], most: int) -> str:
+    """The nearest of the known words within the given edits, or "" if there is none."""
+    own, n = marks(word), len(word)
+    close = [(distance(word, w, most), w) for w, m in known if abs(len(w) - n) <= most and (m ^ own).bit_count() <= 2 * most]
+    best = min(close, default=(most + 1, ""))
+    return best[1] if best[0] <= most else ""
+
+
+BUSINESS_MARKS = [(w, marks(w)) for w in sorted(BUSINESS)]
+GIVEN_MARKS = [(w, marks(w)) for w in sorted(GIVEN) if len(w) >= 4]
+
+
 def slack(n: int) -> int:
     """Edits allowed between two words, by the length of the shorter."""
     return 0 if n <= 3 else 1 if n <= 5 else 2
@@ -129,9 +149,8 @@ def business(token: str) -> tuple[str, ...]:
                     return (head, *more)
     if len(t) >= 4:
         k = 1 if len(t) < 7 else 2
-        close = sorted((distance(t, w, k), w) for w in BUSINESS if abs(len(w) - len(t)) <= k)
-        if close and close[0][0] <= k:
-            return (close[0][1],)
+        if close := closest(t, BUSINESS_MARKS, k):
+            return (close,)
     return ()
 
 
@@ -144,9 +163,8 @@ def given(token: str) -> str:
         return token
     if len(token) >= 5:
         k = 1 if len(token) < 7 else 2
-        close = sorted((distance(token, w, k), w) for w in GIVEN if len(w) >= 4)
-        if close and close[0][0] <= k:
-            return NICKNAMES.get(close[0][1], close[0][1])
+        if close := closest(token, GIVEN_MARKS, k):
+            return NICKNAMES.get(close, close)
     return ""
 
 
