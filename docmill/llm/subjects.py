@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,10 @@ TELLING = 3
 PASSES, INNER = 8, 3
 #: Documents worked through at once, so that their part of the matrix stays in the cache.
 AT_ONCE = 256
+#: Terms of a block of sums, and tasks whose sums are added up first.
+CELL, TEAM = 4096, 32
+#: The passes end when no larger part of the decided terms changes its subject.
+SETTLED = 0.001
 PRIOR = 0.3
 DECIDED, ENOUGH, SHARE = 0.5, 0.9, 0.2
 #: How far a document's mixture leads its sentences: 0 not at all, 1 as far as the factors say.
@@ -281,17 +286,29 @@ def _sums(shared, n_terms: int, inner: int):
             if len(begins):
                 total[some[begins]] += np.add.reduceat(np.take(p, order, axis=1), begins, axis=1).T
         if total is not None:
-            used = np.flatnonzero(total.sum(axis=1) > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(total[used, j]) for j in range(total.shape[1]))], names=["term", *(f"c{j}" for j in range(total.shape[1]))])
+            task = TaskContext.get()
+            team = task.partitionId() // TEAM if task else 0
+            for block in range(-(-n_terms // CELL)):
+                part = total[block * CELL : (block + 1) * CELL]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([team], pa.int32()), pa.array([part.astype(np.float32).tobytes()])], names=["block", "team", "part"])
 
     return run
 
 
+def _added(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in group["part"])
+    return pd.DataFrame({"block": group["block"].iloc[:1], "team": [0], "part": [total.astype(np.float32).tobytes()]})
+
+
 def _gather(rows: DataFrame, shared, n_terms: int, k: int, columns: list[str], inner: int = INNER) -> np.ndarray:
-    kind = "term int, " + ", ".join(f"c{j} double" for j in range(k))
-    sums = rows.select(*columns).mapInArrow(_sums(shared, n_terms, inner), kind).groupBy("term").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)]).toPandas()  # at most the vocabulary
+    """Sums over all documents by term: blocks of terms are added up within teams of tasks, then over the teams."""
+    kind = "block int, team int, part binary"
+    sums = rows.select(*columns).mapInArrow(_sums(shared, n_terms, inner), kind).groupBy("block", "team").applyInPandas(_added, kind).groupBy("block").applyInPandas(_added, kind).toPandas()  # at most the vocabulary
     out = np.zeros((n_terms, k))
-    out[sums["term"].to_numpy(dtype=np.int64)] = sums[[f"c{j}" for j in range(k)]].to_numpy()
+    for block, part in zip(sums["block"], sums["part"], strict=True):
+        part = np.frombuffer(part, dtype=np.float32).reshape(-1, k)
+        out[block * CELL : block * CELL + len(part)] = part
     return out
 
 
@@ -389,13 +406,19 @@ def fit(rows: DataFrame, vocabulary: np.ndarray, shares: DataFrame, names: list[
     mask[fixed, :k] = anchor[fixed]
     mask[fixed, k:] = 0
     h = unit(np.hstack([0.8 * seed + 0.2 * base[:, None], unit(common[:, :free] + 0.01)]) * mask)
+    before = None
     for _ in range(PASSES):
         got = _gather(rows, context.broadcast(h), n, k + free, ["terms", "counts"])
         mass = got.sum(axis=0)
         got[:, :k] += PRIOR * got[:, :k].sum(axis=0) * seed
         h = unit((got + 1e-4) * mask)
-    share = h * mass
-    share /= share.sum(axis=1, keepdims=True) + 1e-30
+        share = h * mass
+        share /= share.sum(axis=1, keepdims=True) + 1e-30
+        now = np.where(share[:, :k].max(axis=1) >= DECIDED, share[:, :k].argmax(axis=1), -1)
+        changed = (now != before).sum() if before is not None else n
+        before = now
+        if changed <= SETTLED * max((now >= 0).sum(), 1):
+            break
     return h, np.where(share[:, :k] >= DECIDED, share[:, :k], 0.0)
 
 
