@@ -2,12 +2,12 @@
 
 Method: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled
 spans (pii_labels), tags every character.  A text is cut where a sentence surely ends; a segment
-longer than a window is read in overlapping windows, and where they overlap each character takes
-the tag of the window in which it stands farther from an edge.  Runs of a tag become spans, which
-must hold what their type cannot do without, and are replaced by a placeholder of the type.
+longer than a window is read in overlapping windows, whose scores are blended where they overlap,
+and the whole segment is then decoded as one sequence.  Runs of a tag become spans, which must
+hold what their type cannot do without, and are replaced by a placeholder of the type.
 
 Each text is tagged where it is, without a shuffle; segments that are
-equal but for their digits are tagged once by a worker.
+equal but for their digits are tagged once in a task.
 Weights are a small file read once by each worker.
 
 Defined cases: null texts give no row in the result of spans and stay null when replaced; empty
@@ -31,7 +31,7 @@ from docmill.llm.pii_model import TYPES
 
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 WINDOW, OVERLAP = 208, 56
-#: Segments tagged together, and remembered at most.
+#: Segments tagged together, and remembered at most in a task.
 TOGETHER, REMEMBERED = 8192, 250_000
 BATCH, STRETCH = 512, 4096
 
@@ -59,26 +59,27 @@ def weights(path: str = WEIGHTS) -> dict[str, np.ndarray]:
         return pii_model.ready({k: f[k].astype(np.float32) for k in f.files})
 
 
-def tag_windows(windows: list[np.ndarray], p: dict[str, np.ndarray]) -> list[np.ndarray | None]:
-    """The tags of each window, read in batches of similar length; None where nothing is tagged."""
-    out: list[np.ndarray | None] = [None] * len(windows)
-    order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
+def window_scores(windows: list[np.ndarray], p: dict[str, np.ndarray]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(numbers of windows, scores[T, B, TAGS]) in batches of similar length."""
+    order = sorted((i for i in range(len(windows)) if len(windows[i])), key=lambda i: len(windows[i]))
     for at in range(0, len(order), BATCH):
         part = order[at : at + BATCH]
-        width = len(windows[part[-1]])
-        if not width:
-            continue
-        x = np.full((len(part), width), pii_model.PAD, dtype=np.uint8)
+        x = np.full((len(part), len(windows[part[-1]])), pii_model.PAD, dtype=np.uint8)
         for j, i in enumerate(part):
             x[j, : len(windows[i])] = windows[i]
-        tags = np.ascontiguousarray(pii_model.viterbi(pii_model.emissions(np.ascontiguousarray(x.T), p), p["t"]).T)
-        for j in np.flatnonzero(tags.any(axis=1)).tolist():
-            out[part[j]] = tags[j, : len(windows[part[j]])]
-    return out
+        yield part, pii_model.emissions(np.ascontiguousarray(x.T), p)
+
+
+#: How much each place of a window counts where windows overlap: less towards the edges.
+RAMP = (np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).clip(max=OVERLAP) / OVERLAP).astype(np.float32)
 
 
 def tag_segments(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray | None]:
-    """The tags of each segment, its windows reconciled; None where nothing is tagged."""
+    """The tags of each segment; None where nothing is tagged.
+
+    A segment within a window is decoded with its batch.  Of a longer one the scores of its
+    windows are blended by RAMP first, and the whole segment is decoded as one sequence.
+    """
     windows, owner = [], []
     step = WINDOW - OVERLAP
     for k, text in enumerate(texts):
@@ -87,18 +88,31 @@ def tag_segments(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray
             windows.append(codes[at : at + WINDOW])
             owner.append((k, at))
     out: list[np.ndarray | None] = [None] * len(texts)
-    for (k, at), tags in zip(owner, tag_windows(windows, p), strict=True):
-        n = len(texts[k])
-        if n <= WINDOW:
-            out[k] = tags
-            continue
-        if out[k] is None:
-            out[k] = np.zeros(n, dtype=np.uint8)
-        begin = OVERLAP // 2 if at else 0  # the half that lies nearer to this window's middle
-        out[k][at + begin : at + WINDOW] = 0 if tags is None else tags[begin:]
+    blended: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for part, e in window_scores(windows, p):
+        whole = [j for j, i in enumerate(part) if len(texts[owner[i][0]]) <= WINDOW]
+        tags = np.ascontiguousarray(pii_model.viterbi(np.ascontiguousarray(e[:, whole]), p["t"]).T)
+        for j in np.flatnonzero(tags.any(axis=1)).tolist():
+            k = owner[part[whole[j]]][0]
+            out[k] = tags[j, : len(texts[k])]
+        for j, i in enumerate(part):
+            k, at = owner[i]
+            if len(texts[k]) > WINDOW:
+                n = len(windows[i])
+                score, weight = blended.setdefault(k, (np.zeros((len(texts[k]), pii_model.TAGS), dtype=np.float32), np.zeros(len(texts[k]), dtype=np.float32)))
+                score[at : at + n] += e[:n, j] * RAMP[:n, None]
+                weight[at : at + n] += RAMP[:n]
+    for k, (score, weight) in blended.items():
+        tags = pii_model.viterbi((score / weight[:, None])[:, None, :], p["t"])[:, 0]
+        out[k] = tags if tags.any() else None
     return out
 
 
+#: What ends in a full stop within an address or a name.
+DOTTED = re.compile(r"(?:\b(?:St|Rd|Ln|Ave|Apt|Jr|Sr|No|[A-Z])|\.\w)\.$")
+EMAIL_END = re.compile(r"[\w%+-]*(?:[.@][\w%+-]+)*")
+
+
 def found(text: str, tags: np.ndarray | None) -> list[tuple[int, int, str]]:
     """Spans (start, end, type) of a segment that hold what their type needs."""
     if tags is None:
@@ -109,8 +123,12 @@ def found(text: str, tags: np.ndarray | None) -> list[tuple[int, int, str]]:
         kind = TYPES[tags[a] - 1]
         while a < b and not (text[a].isalnum() or text[a] in "+("):
             a += 1
-        while a < b and not (text[b - 1].isalnum() or text[b - 1] in ".)"):
+        while a < b and not (text[b - 1].isalnum() or text[b - 1] == ")" and "(" in text[a:b] or text[b - 1] == "." and DOTTED.search(text[a:b])):
             b -= 1
+        if kind == "email":  # to the end of the domain
+            b = EMAIL_END.match(text, b).end()
+        if out and a < out[-1][1]:
+            continue
         span = text[a:b]
         digits, letters = sum(map(str.isdigit, span)), sum(map(str.isalpha, span))
         ok = {  # looked at only where something is tagged
@@ -125,14 +143,10 @@ def found(text: str, tags: np.ndarray | None) -> list[tuple[int, int, str]]:
     return out
 
 
-#: Spans of the segments that this worker has read, in whichever task.
-KNOWN: dict[str, dict[str, list]] = {}
-
-
 def _spans(path: str, redact: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = weights(path)
-        known = KNOWN.setdefault(path, {})
+        known: dict[str, list] = {}  # spans of the segments of this task
         for batch in batches:
             keys, texts = list(zip(batch["record_kind"], batch["record_id"], strict=True)), batch["text"].tolist()
             result = []

@@ -16,7 +16,7 @@ _clip = getattr(np, "_core", np).umath.clip if hasattr(np, "_core") else np.clip
 
 TYPES = ["email", "phone", "identity_number", "street_address", "person_name"]
 TAGS = len(TYPES) + 1
-HIDDEN = 24
+HIDDEN = 32
 PAD = 0
 
 
@@ -72,6 +72,23 @@ def fresh(hidden: int = HIDDEN, seed: int = 11) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
+def widen(p: dict[str, np.ndarray], hidden: int = HIDDEN) -> dict[str, np.ndarray]:
+    """Weights with more cells: the old ones as they are, the new ones fresh and weak on the old."""
+    n, out = p["hf"].shape[0], fresh(hidden)
+    if n == hidden:
+        return dict(p)
+    for d in "fb":
+        for g in range(4):
+            old, new = slice(g * n, g * n + n), slice(g * hidden, g * hidden + n)
+            out[f"x{d}"][:, new] = p[f"x{d}"][:, old]
+            out[f"h{d}"][n:, new] *= 0.1
+            out[f"h{d}"][:n, new] = p[f"h{d}"][:, old]
+    out["o"] *= 0.1
+    out["o"][:n], out["o"][hidden : hidden + n] = p["o"][:n], p["o"][n:]
+    out["ob"], out["t"] = p["ob"].copy(), p["t"].copy()
+    return out
+
+
 def _run(x: np.ndarray, table: np.ndarray, rec: np.ndarray, keep: bool):
     """x[T, B] classes -> h[T, B, H]; with keep also what the gradient needs. Gates: input, forget, output, cell."""
     steps, batch = x.shape
