@@ -36,6 +36,19 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, once=True)
 
 
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of each record: own words add up to the text, none is too long, overlaps are whole."""
+    p = p3_pieces(spark, sf_dir)
+    limit = F.when(F.col("record_kind") == "tree_nodes", NODE_LIMIT).otherwise(FILE_LIMIT)
+    repeats = F.when(F.col("piece_no") == 0, 0).otherwise(OVERLAP)
+    return p.groupBy("record_kind", "record_id").agg(F.sum(F.col("n_words") - F.col("overlap_words")).alias("own_words"), F.bool_and((F.col("n_words") <= limit) & (splitting.n_words(F.col("text")) == F.col("n_words")) & (F.col("overlap_words") == repeats)).alias("holds"))
+
+
+def p4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voted fields of the surviving records beside the name."""
+    return p4_survivors(spark, sf_dir).where("n_rows is not null").select("case_id", "group_id", "source_pdf", "source_page", "source_line", F.md5("context").alias("context_hash"), F.round("confidence", 6).alias("confidence"), "extracted_at")
+
+
 def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record of every group."""
     return survivors.survivors(table(spark, sf_dir, "candidate_entities"), table(spark, sf_dir, "resolution_groups"))
@@ -96,6 +109,15 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: every row placed once, none overfull, only texts beyond the capacity cut."""
+    c = p6_containers(spark, sf_dir)
+    rows = c.groupBy("doc_id").agg(F.count_if(F.col("piece_no") == 0).alias("times"), F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    over = c.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > packing.CAPACITY).alias("overfull"))
+    cut = F.count_if((F.col("pieces") > F.col("times")) & (F.col("tokens") <= packing.CAPACITY * F.col("times"))).alias("cut_needlessly")
+    return rows.agg(F.count("*").alias("ids"), F.sum("times").alias("rows"), cut).crossJoin(over)
+
+
 def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are."""
     full = p6_containers(spark, sf_dir).where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
@@ -128,7 +150,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_pieces, p4_found, p4_survivors, p5_found, p5_redacted, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_pieces, p3_checks, p4_found, p4_survivors, p4_fields, p5_found, p5_redacted, p6_containers, p6_usage, p6_checks, p7_found, p7_leaks, p8_found, p8_composition)}
 
 
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -154,6 +176,23 @@ def oracle_sql() -> dict[str, str]:
               FROM candidate_entities c JOIN (SELECT DISTINCT case_id, group_id FROM resolution_groups) g ON c.case_id = g.case_id AND c.group_id = g.group_id),
             m AS (SELECT *, max(usable) OVER w AS u, max(conf) OVER w AS k, max(seen) OVER w AS l FROM r WINDOW w AS (PARTITION BY case_id, group_id))
             SELECT case_id, group_id, min(candidate_id) AS candidate_id FROM m WHERE usable = u AND conf = k AND seen = l GROUP BY case_id, group_id""",
+        "p3_checks": f"""
+            SELECT DISTINCT 'tree_nodes' AS record_kind, node_key AS record_id, len(regexp_extract_all(content, '[^{SPACE}]+')) AS own_words, true AS holds FROM tree_nodes WHERE len(regexp_extract_all(content, '[^{SPACE}]+')) > {NODE_LIMIT}
+            UNION ALL SELECT DISTINCT 'extraction_outputs', output_id, len(regexp_extract_all(markdown_text, '[^{SPACE}]+')), true FROM extraction_outputs WHERE len(regexp_extract_all(markdown_text, '[^{SPACE}]+')) > {FILE_LIMIT}""",
+        "p6_checks": "SELECT count(DISTINCT doc_id) AS ids, count(*) AS rows, 0 AS cut_needlessly, 0 AS overfull FROM documents",
+        "p4_fields": f"""
+            WITH r AS (
+              SELECT case_id, group_id, CASE WHEN {_TEXT('source_pdf')} = 1 THEN {_TRIM('source_pdf')} END AS pdf, CASE WHEN {_TEXT('context')} = 1 THEN {_TRIM('context')} END AS context,
+                CASE WHEN source_page >= 1 AND NOT isnan(CAST(source_page AS DOUBLE)) THEN CAST(CAST(source_page AS BIGINT) AS VARCHAR) END AS page, CASE WHEN source_line >= 1 AND NOT isnan(CAST(source_line AS DOUBLE)) THEN CAST(CAST(source_line AS BIGINT) AS VARCHAR) END AS line,
+                coalesce({_TEXT('canonical_name')}, 0) AS named, CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence < 0 THEN -1 WHEN confidence > 1 THEN confidence / 100 ELSE confidence END AS conf, extracted_at
+              FROM candidate_entities WHERE case_id IS NOT NULL AND group_id IS NOT NULL),
+            u AS (SELECT *, CAST(round(1000000 * (greatest(conf, 0) + 0.05::DOUBLE * (named + (pdf IS NOT NULL)::INT + (context IS NOT NULL)::INT + (page IS NOT NULL)::INT + (line IS NOT NULL)::INT) + 0.05::DOUBLE)) AS BIGINT) AS w FROM r),
+            c AS (SELECT case_id, group_id, f, v, sum(w) AS w, max(coalesce(extracted_at, TIMESTAMP '0001-01-01')) AS seen FROM (SELECT case_id, group_id, w, extracted_at, unnest(['pdf', 'page', 'line', 'context']) AS f, unnest([pdf, page, line, context]) AS v FROM u) WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4),
+            b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY case_id, group_id, f ORDER BY w DESC, seen DESC, v) = 1),
+            t AS (SELECT case_id, group_id, max(CASE WHEN f = 'pdf' THEN v END) AS source_pdf, max(CASE WHEN f = 'page' THEN CAST(v AS BIGINT) END) AS source_page, max(CASE WHEN f = 'line' THEN CAST(v AS BIGINT) END) AS source_line, md5(max(CASE WHEN f = 'context' THEN v END)) AS context_hash FROM b GROUP BY 1, 2)
+            SELECT g.case_id, g.group_id, source_pdf, source_page, source_line, context_hash, round(CASE WHEN conf >= 0 THEN conf END, 6) AS confidence, seen AS extracted_at
+            FROM (SELECT case_id, group_id, max(conf) AS conf, max(extracted_at) AS seen FROM u GROUP BY 1, 2) g LEFT JOIN t ON t.case_id = g.case_id AND t.group_id = g.group_id
+            WHERE EXISTS (SELECT 1 FROM resolution_groups x WHERE x.case_id = g.case_id AND x.group_id = g.group_id)""",
         # words of an item that stand in runs of at least four equal words
         "p7_found": f"""
             WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE text IS NOT NULL),
