@@ -46,8 +46,36 @@ def first_best(df: DataFrame, keys: list[str], confidence: str, order: str) -> D
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("r")).select(*keys, "r.*")
 
 
-def rejection(name: Column, confidence: Column, page: Column, file: Column) -> Column:
-    """Why a mention is rejected: the first rule that fails, else null."""
+#: What the shapes ask of each type; counts are at least one, numbers between the limits.
+SHAPES = {
+    "Person": (["canonical_name", "source_pdf", "source_page", "confidence"], (0.0, 1.0)), "Organization": (["canonical_name", "source_pdf", "source_page", "confidence"], (0.0, 1.0)), "Court": (["canonical_name", "source_pdf"], None),
+    "LegalProceeding": (["canonical_name", "source_pdf", "source_page"], None), "Demand": (["canonical_name", "source_pdf", "source_page"], None), "Transaction": (["canonical_name", "source_pdf"], None), "Asset": (["canonical_name", "source_pdf"], None),
+}
+
+
+def violations(kind: Column, values: dict[str, Column]) -> Column:
+    """array<string>: the constraints of its type's shape that a mention violates, in order; types without a shape violate none."""
+    out = F.array().cast("array<string>")
+    for name, (needed, limits) in SHAPES.items():
+        broken = [F.when(values[c].isNull(), f"{c} missing") for c in needed]
+        if limits:
+            broken.append(F.when((values["confidence"] < limits[0]) | (values["confidence"] > limits[1]), "confidence out of range"))
+        out = F.when(kind == name, F.array_compact(F.array(*broken))).otherwise(out)
+    return out
+
+
+def validate_batch(mentions: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected with their reason)."""
+    rows = mentions.withColumn("reason", reason)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
+
+
+def rejection(name: Column, confidence: Column, page: Column, file: Column, kind: Column | None = None) -> Column:
+    """Why a mention is rejected: the first rule that fails, else null.
+
+    The last rule is what the shapes add: of a type with limits, where the type is given.
+    """
+    limited = F.lit(True) if kind is None else F.coalesce(kind.isin([k for k, (_, limits) in SHAPES.items() if limits]), F.lit(False))
     n = T.strip(F.coalesce(name, F.lit("")))
     return (
         F.when(F.length(n) < 3, "name too short")
@@ -56,7 +84,7 @@ def rejection(name: Column, confidence: Column, page: Column, file: Column) -> C
         .when(F.coalesce(confidence, F.lit(0.0)) < 0.5, "low confidence")
         .when(F.coalesce(page, F.lit(0)) == 0, "missing page")
         .when(F.coalesce(file, F.lit("")) == "", "missing file")
-        .when(confidence > 1.0, "confidence above 1")
+        .when(limited & (confidence > 1.0), "confidence above 1")
     )
 
 

@@ -43,34 +43,47 @@ def registry(rows: DataFrame) -> DataFrame:
     )
 
 
-def _best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        made = []
-        for name, entries in zip(batch["name"], batch["entries"], strict=True):
-            best, score = None, 0.0
-            matcher = SequenceMatcher(autojunk=True)
-            for e in entries:
-                matcher.set_seqs(name, e)
-                if matcher.real_quick_ratio() > score and matcher.quick_ratio() > score and (r := matcher.ratio()) > score:
-                    best, score = e, r
-            made.append((best, round(score, 4)))
-        yield pd.DataFrame({"name": batch["name"], "block": batch["block"], "best": [m[0] for m in made], "score": [m[1] for m in made]})
+        scores, last, matcher = [], None, SequenceMatcher(autojunk=True)
+        for name, entry in zip(batch["name"], batch["entry"], strict=True):
+            if entry != last:
+                matcher.set_seq2(entry)
+                last = entry
+            matcher.set_seq1(name)
+            near = matcher.quick_ratio() >= REGISTRY_REVIEW
+            scores.append(round(matcher.ratio(), 4) if near else 0.0)
+        yield batch.assign(score=scores)
 
 
 def match_registry(mentions: DataFrame, entries: DataFrame) -> DataFrame:
     """mentions(name, block), entries(block, seq, entry) -> (name, block, best, score, status).
 
-    Exact hits are an equi-join; only the rest is compared by the sequence ratio, against the
-    registry of its own block (a case), each distinct name once.
+    Exact hits are an equi-join; each other distinct name is compared by the sequence ratio with
+    the entries of its own block (a case) whose length and characters allow a ratio worth a
+    review, one pair a row, the best of a name by a combining aggregate.  Below that a name has no
+    best entry and the score 0.  Of equal scores the entry with the smaller seq is taken.
     """
     names = mentions.where("trim(name) <> ''").select("name", "block").distinct()
     exact = names.join(entries.select("block", F.col("entry").alias("name")).distinct(), ["block", "name"], "left_semi").select("name", "block", F.col("name").alias("best"), F.lit(1.0).alias("score"))
     rest = names.join(exact.select("name", "block"), ["name", "block"], "left_anti")
-    listed = entries.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "entry"))), lambda s: s["entry"]).alias("entries"))
-    known = rest.join(listed, "block", "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<string>")))
-    found = known.select("name", "block", "entries").mapInPandas(_best, "name string, block string, best string, score double")
+    known = entries.where("entry <> ''").groupBy("block", "entry").agg(F.min("seq").alias("seq"))
+    n, m = F.length("name"), F.length("entry")
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    common = F.size(F.array_intersect(letters("name"), letters("entry")))
+    pairs = rest.join(known, "block").where((2 * F.least(n, m) >= REGISTRY_REVIEW * (n + m)) & (common > 0)).select("name", "block", "entry", "seq")
+    kind = dict(pairs.dtypes)
+    scored = pairs.mapInPandas(_ratio, f"name string, block {kind['block']}, entry string, seq {kind['seq']}, score double").where(F.col("score") >= REGISTRY_REVIEW)
+    found = scored.groupBy("name", "block").agg(F.min(F.struct((-F.col("score")).alias("lower"), "seq", "entry")).alias("r")).select("name", "block", F.col("r.entry").alias("best"), (-F.col("r.lower")).alias("score"))
+    rated = rest.join(found, ["name", "block"], "left").select("name", "block", "best", F.coalesce("score", F.lit(0.0)).alias("score"))
     status = F.when(F.col("score") >= REGISTRY_AUTO, "AUTO").when(F.col("score") >= REGISTRY_REVIEW, "REVIEW").otherwise("NEW")
-    return exact.unionByName(found).withColumn("status", status)
+    return exact.unionByName(rated).withColumn("status", status)
+
+
+def unmatched(mentions: DataFrame, entries: DataFrame) -> DataFrame:
+    """The mentions whose name the registry does not settle by itself."""
+    sure = match_registry(mentions, entries).where("status = 'AUTO'").select("name", "block")
+    return mentions.join(sure, ["name", "block"], "left_anti")
 
 
 def llm_merge(yes: Column, total: Column) -> Column:

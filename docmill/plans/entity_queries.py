@@ -43,7 +43,7 @@ def mention_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mentions(spark, sf_dir)
     page = F.col("source_page").cast("int")
-    return m.select("mention_id", E.rejection(F.col("canonical_name"), F.col("confidence"), page, F.col("source_pdf")).alias("reason"))
+    return m.select("mention_id", E.rejection(F.col("canonical_name"), F.col("confidence"), page, F.col("source_pdf"), F.col("schema_type")).alias("reason"))
 
 
 def validate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,31 @@ def registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of mentions against the names decided in their case."""
     g = table(spark, sf_dir, "resolution_groups").where("canonical_name is not null and trim(canonical_name) <> ''")
     c = table(spark, sf_dir, "candidate_entities").where("canonical_name is not null")
-    return R.match_registry(c.select(F.col("canonical_name").alias("name"), F.col("case_id").alias("block")), g.select(F.col("case_id").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("canonical_name").alias("entry")))
+    return R.match_registry(c.select(F.col("canonical_name").alias("name"), F.col("case_id").alias("block")), g.select(F.col("case_id").alias("block"), F.col("group_id").alias("seq"), F.col("canonical_name").alias("entry")))
+
+
+def registry_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that are left to resolve once the registry has taken those it knows."""
+    g = table(spark, sf_dir, "resolution_groups").where("canonical_name is not null and trim(canonical_name) <> ''")
+    c = table(spark, sf_dir, "candidate_entities").where("canonical_name is not null").select("candidate_id", F.col("canonical_name").alias("name"), F.col("case_id").alias("block"))
+    return R.unmatched(c, g.select(F.col("case_id").alias("block"), F.col("group_id").alias("seq"), F.col("canonical_name").alias("entry"))).select("candidate_id", F.col("block").alias("case_id"))
+
+
+def shape_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shapes of the types find, beside the other rules."""
+    m = _mentions(spark, sf_dir)
+    page = F.when(~F.isnan(F.col("source_page").cast("double")), F.col("source_page"))
+    v = E.violations(F.col("schema_type"), {"canonical_name": F.col("canonical_name"), "source_pdf": F.col("source_pdf"), "source_page": page, "confidence": F.col("confidence")})
+    return m.select("mention_id", F.array_join(v, "; ").alias("violations")).where("violations <> ''")
+
+
+def validated_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid and rejected mentions of each case, and the part that is noise."""
+    m = _mentions(spark, sf_dir)
+    reason = E.rejection(F.col("canonical_name"), F.col("confidence"), F.col("source_page").cast("int"), F.col("source_pdf"), F.col("schema_type"))
+    valid, rejected = E.validate_batch(m, reason)
+    n = valid.select("case_id", F.lit(1).alias("ok")).unionByName(rejected.select("case_id", F.lit(0).alias("ok"))).groupBy("case_id").agg(F.sum("ok").alias("valid"), F.count("*").alias("all"))
+    return n.select("case_id", "valid", (F.col("all") - F.col("valid")).alias("rejected"), F.round(1 - F.col("valid") / F.col("all"), 6).alias("noise_rate"))
 
 
 #: The vectors given are nearly unrelated: at the threshold for names none would be a pair.
@@ -150,7 +174,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (canonicalize_names, label_types, entity_context, mention_dedupe, validate_reasons, rejection_stats, entity_pairs, pair_batches, shared_sentences, resolution_votes, resolution_summary, pick_canonical, registry_build, registry_match, cosine_pairs, similarity_clusters, l2_normalize, knn_topk)
+    for f in (canonicalize_names, label_types, entity_context, mention_dedupe, validate_reasons, rejection_stats, entity_pairs, pair_batches, shared_sentences, resolution_votes, resolution_summary, pick_canonical, registry_build, registry_match, registry_unmatched, shape_violations, validated_cases, cosine_pairs, similarity_clusters, l2_normalize, knn_topk)
 }
 
 
@@ -166,7 +190,7 @@ _CANON = f"array_to_string(regexp_extract_all(translate(CASE WHEN schema_type =
 _LABEL = "CASE " + " ".join(f"WHEN gliner_label = '{k}' THEN '{v}'" for k, v in E.LABEL_TYPES.items()) + " ELSE 'Entity' END"
 _N = _strip("coalesce(canonical_name, '')")
 _REASON = f"""CASE WHEN length({_N}) < 3 THEN 'name too short' WHEN regexp_matches(regexp_replace({_N}, '[., ]', '', 'g'), '^\\p{{N}}+$') THEN 'purely numeric' WHEN lower({_N}) IN ({_list(E.NOISE)}) THEN 'noise word'
-    WHEN coalesce(confidence, 0) < 0.5 THEN 'low confidence' WHEN coalesce(source_page, 0) = 0 THEN 'missing page' WHEN coalesce(source_pdf, '') = '' THEN 'missing file' WHEN confidence > 1.0 THEN 'confidence above 1' END"""
+    WHEN coalesce(confidence, 0) < 0.5 THEN 'low confidence' WHEN coalesce(source_page, 0) = 0 THEN 'missing page' WHEN coalesce(source_pdf, '') = '' THEN 'missing file' WHEN confidence > 1.0 AND schema_type IN ('Person', 'Organization') THEN 'confidence above 1' END"""
 _FIRST = f"""f AS (SELECT case_id, source_pdf, CAST(source_page AS INT) AS source_page, canonical_name AS name, min(mention_id) AS seq FROM {MENTIONS} WHERE case_id IS NOT NULL AND source_pdf IS NOT NULL AND source_page > 0 AND schema_type IN ({_list(E.MEANINGFUL)}) AND canonical_name IS NOT NULL GROUP BY 1, 2, 3, 4),
     p AS (SELECT a.case_id, a.source_pdf, a.source_page, a.name AS name_a, b.name AS name_b, a.seq AS seq_a, b.seq AS seq_b FROM f a JOIN f b ON a.case_id = b.case_id AND a.source_pdf = b.source_pdf AND a.source_page = b.source_page AND a.seq < b.seq)"""
 _COS = "list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) * list_dot_product(CAST(y.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])))"
@@ -181,6 +205,17 @@ SQL = {
     "mention_dedupe": f"SELECT case_id, canonical_name, schema_type, mention_id, confidence, source_pdf FROM {MENTIONS} WHERE canonical_name IS NOT NULL AND schema_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id, canonical_name, schema_type ORDER BY coalesce(confidence, 0) DESC, mention_id) = 1",
     "validate_reasons": f"SELECT mention_id, {_REASON} AS reason FROM {MENTIONS}",
     "rejection_stats": f"SELECT * FROM (SELECT {_REASON} AS reason, count(*) AS n FROM {MENTIONS} GROUP BY 1) WHERE reason IS NOT NULL",
+    "validated_cases": f"SELECT case_id, CAST(count(*) FILTER (WHERE r IS NULL) AS BIGINT) AS valid, count(*) FILTER (WHERE r IS NOT NULL) AS rejected, round(1 - count(*) FILTER (WHERE r IS NULL)::DOUBLE / count(*), 6) AS noise_rate FROM (SELECT case_id, {_REASON} AS r FROM {MENTIONS}) GROUP BY case_id",
+    "shape_violations": f"""WITH v AS (SELECT mention_id, CASE {' '.join("WHEN schema_type = '" + k + "' THEN concat_ws('; ', " + ", ".join(f"CASE WHEN {c} IS NULL" + (" OR isnan(CAST(source_page AS DOUBLE))" if c == 'source_page' else "") + f" THEN '{c} missing' END" for c in need) + (", CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence out of range' END" if lim else "") + ")" for k, (need, lim) in E.SHAPES.items())} ELSE '' END AS violations FROM {MENTIONS})
+        SELECT * FROM v WHERE violations <> ''""",
+    "shared_sentences": f"""WITH {_FIRST}, t AS (SELECT mention_id, coalesce(text, canonical_name) AS text FROM {MENTIONS}),
+        c AS (SELECT case_id, source_pdf, CAST(source_page AS INT) AS source_page, context, min(mention_id) AS mention_id FROM {MENTIONS} WHERE case_id IS NOT NULL AND source_pdf IS NOT NULL AND source_page > 0 AND context IS NOT NULL GROUP BY 1, 2, 3, 4),
+        j AS (SELECT p.case_id, p.source_pdf, p.source_page, name_a, name_b, lower(ta.text) AS la, lower(tb.text) AS lb, context, c.mention_id, CASE WHEN contains(lower(context), lower(ta.text)) AND contains(lower(context), lower(tb.text)) THEN 0 WHEN contains(lower(context), lower(ta.text)) OR contains(lower(context), lower(tb.text)) THEN 1 ELSE 2 END AS rank
+          FROM p JOIN t ta ON ta.mention_id = seq_a JOIN t tb ON tb.mention_id = seq_b LEFT JOIN c ON c.case_id = p.case_id AND c.source_pdf = p.source_pdf AND c.source_page = p.source_page),
+        b AS (SELECT *, string_split(regexp_replace(context, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM j QUALIFY row_number() OVER (PARTITION BY case_id, source_pdf, source_page, name_a, name_b ORDER BY rank, mention_id, context) = 1),
+        k AS (SELECT *, coalesce(list_position(list_transform(ss, lambda q: contains(lower(q), la) AND contains(lower(q), lb)), true), 0) AS both_at FROM b),
+        fx AS (SELECT *, list_concat(list_transform(list_filter(range(1, len(ss) + 1), lambda i: (both_at = 0 OR i < both_at) AND (contains(lower(ss[i]), la) OR contains(lower(ss[i]), lb))), lambda i: ss[i]), CASE WHEN both_at > 0 THEN ss[greatest(1, both_at - 1):greatest(1, both_at - 1) + CASE WHEN both_at > 1 THEN 2 ELSE 1 END] ELSE [] END)[1:4] AS found FROM k)
+        SELECT case_id, source_pdf, source_page, name_a, name_b, mention_id, CASE WHEN context IS NULL THEN NULL WHEN len(found) > 0 THEN array_to_string(found, ' / ') ELSE substring(context, 1, 300) END AS sentences FROM fx""",
     "entity_pairs": f"WITH {_FIRST} SELECT case_id, source_pdf, source_page, name_a, name_b FROM p",
     "pair_batches": f"WITH {_FIRST}, n AS (SELECT *, (row_number() OVER (PARTITION BY case_id, source_pdf, source_page ORDER BY seq_a, seq_b) - 1) // 10 AS batch_no FROM p) SELECT case_id, source_pdf, source_page, batch_no, count(*) AS pairs FROM n GROUP BY 1, 2, 3, 4",
     "resolution_votes": _DECIDE,

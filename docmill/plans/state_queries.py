@@ -10,6 +10,7 @@ from docmill.operators import config, pages, state
 from docmill.plans.entity_queries import MENTIONS, _list, _mentions
 from docmill.plans.text_queries import NODES, _nodes, _strip, _words
 from docmill.session import table
+from docmill.sources import files
 
 NOW, PURPOSE = "1998-06-01 00:00:00", "1-URGENT"
 
@@ -173,6 +174,32 @@ def page_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("case_id", "source_pdf", "page", "from_mentions", F.md5("text").alias("text_hash"))
 
 
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every Markdown as a text file, read by its extension; a type without a reader gives an error."""
+    e = table(spark, sf_dir, "extraction_outputs").where("markdown_text is not null")
+    kind = F.when(F.col("output_id") % 2 == 0, ".txt").otherwise(".msg")
+    f = files.extract(e.select(F.concat(F.lit("/in/"), F.col("output_id").cast("string"), kind).alias("path"), F.encode("markdown_text", "utf-8").alias("content")))
+    return f.select("filename", "file_type", "page_count", F.md5("markdown_text").alias("text_hash"), F.col("error").isNotNull().alias("failed"))
+
+
+def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions as mails: their head, then their body."""
+    i = table(spark, sf_dir, "eval_items").where("question is not null")
+    body = F.concat(F.lit("From: a@example.com\nTo: b@example.org\nSubject: Item "), F.col("item_id").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "question")
+    f = files.extract(i.select(F.concat(F.lit("/in/"), F.col("item_id").cast("string"), F.lit(".eml")).alias("path"), F.encode(body, "utf-8").alias("content")))
+    return f.select("filename", "page_count", F.md5("markdown_text").alias("text_hash"))
+
+
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages as pages of a file for each case: the bytes parsed into pages, short pages read again by a supplied reader, joined under markers."""
+    p = _pages(spark, sf_dir).where("case_id is not null").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("source_pdf", "page", "text"))).alias("x"))
+    made = p.select(F.col("case_id").alias("path"), F.encode(F.array_join(F.transform("x", lambda r: r["text"]), "\f"), "utf-8").alias("content"))
+    rows = files.page_rows(made, lambda data: [(t, [], t.encode()) for t in data.decode().split("\f")], lambda image: image.decode() + " read again")
+    text = pages.choose(F.col("text"), F.col("read"))
+    out = pages.join_pages(rows.select("path", "page", text.alias("text")), ["path"], "page", "text")
+    return out.select(F.col("path").alias("case_id"), F.col("pages").alias("n_pages"), F.md5("markdown").alias("markdown_hash"))
+
+
 def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A configuration from the tables: the types that mentions of a domain's cases have."""
     c = table(spark, sf_dir, "cases").select("case_id", F.coalesce("domain", F.lit(config.COMMON)).alias("domain_id"))
@@ -193,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         registry_append, registry_status, registry_retry, case_newest, provenance, extraction_rows, review_confirmed, decisions_applied, group_numbers, confirmed_entities, review_kept, annotations_listed,
-        tokens_consumed, users_found, users_migrated, research_sessions, page_choice, page_markdown, page_tables, page_fallback, domain_config,
+        tokens_consumed, users_found, users_migrated, research_sessions, page_choice, page_markdown, page_tables, page_fallback, domain_config, text_files, mail_files, scanned_files,
     )
 }
 
@@ -207,6 +234,11 @@ _DOM = f"""c AS (SELECT case_id, coalesce(domain, 'universal') AS domain_id FROM
 _UNIQUE = lambda c: f"array_to_string(list_concat(u.{c}, list_filter(coalesce(o.{c}, []), lambda x: NOT list_contains(u.{c}, x))), ';')"
 
 SQL = {
+    "text_files": f"""SELECT output_id || CASE WHEN output_id % 2 = 0 THEN '.txt' ELSE '.msg' END AS filename, CASE WHEN output_id % 2 = 0 THEN '.txt' ELSE '.msg' END AS file_type, CASE WHEN output_id % 2 = 0 THEN CAST(greatest(1, {_words('markdown_text')} // 300) AS INT) END AS page_count,
+        CASE WHEN output_id % 2 = 0 THEN md5('# ' || output_id || chr(10) || chr(10) || markdown_text) END AS text_hash, output_id % 2 <> 0 AS failed FROM extraction_outputs WHERE markdown_text IS NOT NULL""",
+    "mail_files": f"""SELECT item_id || '.eml' AS filename, 1::INT AS page_count, md5('# Item ' || item_id || chr(10) || chr(10) || '**From:** a@example.com' || chr(10) || '**To:** b@example.org' || chr(10) || '**Subject:** Item ' || item_id || chr(10) || chr(10) || '## Email Body' || chr(10) || chr(10) || {_strip('question')}) AS text_hash FROM eval_items WHERE question IS NOT NULL""",
+    "scanned_files": f"""WITH {_PAGES}, o AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY source_pdf, page, text) AS k, CASE WHEN {_words('text')} < 20 THEN text || ' read again' ELSE text END AS t FROM pg WHERE case_id IS NOT NULL)
+        SELECT case_id, CAST(count(*) AS INT) AS n_pages, md5(string_agg('<!-- page:' || k || ' -->' || chr(10) || t, chr(10) || chr(10) ORDER BY k)) AS markdown_hash FROM o WHERE {_strip('t')} <> '' GROUP BY case_id""",
     "registry_append": f"""WITH {_REG}, n AS (SELECT case_id, count(*) AS had FROM reg WHERE status = 'processed' GROUP BY 1)
         SELECT r.case_id, 'doc_' || lpad(CAST(coalesce(had, 0) + row_number() OVER (PARTITION BY r.case_id ORDER BY uploaded_at, filename) AS VARCHAR), 3, '0') AS doc_id, filename, CASE WHEN {_EXT} IN ({_list(state.FILE_TYPES)}) THEN {_EXT} ELSE 'unknown' END AS file_type, 'pending' AS status
         FROM reg r LEFT JOIN n ON n.case_id = r.case_id WHERE status <> 'processed'""",

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -267,3 +268,75 @@ def test_evidence_for_all_types(spark):
     got = {(r.name_a, r.name_b): r.sentences for r in entity_queries._evidence(m).collect()}
     assert set(got) == {("clara orlov", "ivo brandt"), ("clara orlov", "high court"), ("ivo brandt", "high court")}
     assert got["clara orlov", "ivo brandt"].startswith("Clara Orlov met Ivo Brandt.") and "High Court sat" in got["clara orlov", "high court"]
+
+
+def test_domain_configuration(spark, tmp_path):
+    from docmill.operators import config
+
+    for k, (d, labels, examples) in enumerate((("universal", ["a", "b"], ["x"]), ("tax", ["b", "c"], ["x"]))):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"domain_id": d, "name": d.title(), "labels": labels, "vocabulary": None, "headings": [], "examples": examples}))
+    domains = config.read_domains(spark, str(tmp_path))
+    cases = spark.createDataFrame([("1", "tax"), ("2", "unheard"), ("3", None), ("4", "universal")], "case_id string, domain string")
+    got = {r.case_id: r for r in config.domain_of(cases, domains).collect()}
+    assert got["1"].labels == ["a", "b", "c"] and got["1"].examples == ["x", "x"] and got["1"].known
+    assert all(got[k].domain_id == "universal" and got[k].labels == ["a", "b"] for k in "234") and (got["2"].known, got["3"].known, got["4"].known) == (False, False, True)
+    assert [r.domain_id for r in config.list_domains(domains).collect()] == ["tax"] and config.domain_of(cases, domains.limit(0)).count() == 0
+
+
+def test_state_changes(spark):
+    from docmill.operators import state
+
+    old = spark.createDataFrame([("c", "d1", "failed", 3), ("c", "d2", "ready", 4)], "case_id string, doc_id string, status string, page_count int")
+    new = spark.createDataFrame([("c", "b.PDF", 2), ("c", "a.xyz", 1), ("e", "n", 1)], "case_id string, filename string, uploaded_at int")
+    assert {(r.case_id, r.doc_id, r.file_type) for r in state.add_documents(old, new).collect()} == {("c", "doc_003", "unknown"), ("c", "doc_004", "pdf"), ("e", "doc_001", "unknown")}
+    assert {(r.doc_id, r.status, r.page_count) for r in state.retry(old).collect()} == {("d1", "pending", None), ("d2", "ready", 4)}
+    done = spark.createDataFrame([("c", "d1", "processed", None)], old.schema)
+    assert {(r.doc_id, r.status, r.page_count) for r in state.set_status(old, done).collect()} == {("d1", "processed", 3), ("d2", "ready", 4)}
+    groups = spark.createDataFrame([("c", "1", "n", "AUTO_MERGE", None), ("c", "2", "m", "NEEDS_REVIEW", "KEEP"), ("c", "3", "k", "NEEDS_REVIEW", "SKIP"), ("c", "4", "j", "NEEDS_REVIEW", "MERGE")], "case_id string, group_id string, canonical_name string, resolution string, human_decision string")
+    members = spark.createDataFrame([("c", "1", "n"), ("c", "1", "n2"), ("c", "1", "n2"), ("c", "2", "x"), ("c", "3", "y"), ("c", "4", "j3"), ("c", "4", None)], "case_id string, group_id string, name string")
+    assert {tuple(r) for r in state.apply_decisions(groups, members).select("group_id", "action", "old", "canonical").collect()} == {("1", "MERGED", "n2", "n"), ("2", "KEPT", None, "m"), ("4", "MERGED", "j3", "j")}
+    votes = spark.createDataFrame([("c", "1", "YES"), ("c", "1", "YES"), ("c", "1", "NO"), ("c", "4", "YES"), ("c", "4", "NO")], "case_id string, group_id string, llm_vote string")
+    staged = spark.createDataFrame([("c", "1", "KEEP", ["first", "second"], 1), ("c", "4", "MERGE", None, 1), ("c", "9", "MERGE", None, 1)], "case_id string, group_id string, decision string, buckets array<string>, staged_at int")
+    assert {(r.group_id, r.canonical_name, r.disagreement) for r in state.confirm_all(groups, votes, staged).collect()} == {("1", "first", True), ("4", "j", True)}
+
+
+def test_traversal_with_types_and_missing_seeds(spark):
+    nodes = spark.createDataFrame([("a", "Person"), ("b", "Court"), ("c", "Person"), ("d", "Person"), ("z", "Person")], "node string, label string")
+    edges = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c"), ("c", "R", "d")], "src string, rel string, dst string")
+    seeds = spark.createDataFrame([("a",), ("z",)], "node string")
+    assert {(r.node, r.degree) for r in graph.within(nodes, edges, seeds, 2, ["Person"]).collect()} == {("a", 1), ("c", 2), ("z", 0)}
+    assert {r.node for r in graph.within(nodes, edges, seeds, 2, None, 1).collect()} == {"b", "a", "z"}
+    assert graph.within(nodes, edges, seeds.limit(0), 2).count() == 0
+
+
+def test_edges_need_their_ends(spark):
+    nodes = spark.createDataFrame([("c", "a", "Person"), ("c", "b", "Court"), ("c", "b", "Entity"), ("d", "a", "Person")], "case_id string, node string, label string")
+    edges = spark.createDataFrame([("c", "a", "filed by", "b", 0.7, "f2", 2), ("c", "a", "FILED_BY", "b", 0.9, "f1", 1), ("d", "a", "x", "b", 0.9, "f", 1)], "case_id string, src string, rel string, dst string, confidence double, source string, seq int")
+    got = {(r.case_id, r.rel, r.dst_label, r.confidence, r.source) for r in graph.connect(edges, nodes).collect()}
+    assert got == {("c", "FILED_BY", "Court", 0.9, "f1"), ("c", "FILED_BY", "Entity", 0.9, "f1")}
+
+
+def test_pages_fuse_and_merge(spark):
+    nodes = spark.createDataFrame([("acme_works", "Organization", 0.5), ("nobody", "Person", 0.1)], "name string, schema_type string, graph_score double")
+    p = spark.createDataFrame([(1, 3, 2.0, "about Acme", "Page 3", ["about Acme"]), (2, 4, 1.0, "other", "Page 4", None), (3, 4, 0.5, "more", "Page 4", None)], "key int, page int, score double, text string, citation string, lines array<string>")
+    f = fusion.fuse_pages(nodes, p)
+    got = {r.name: r for r in f.collect()}
+    assert got["acme_works"].confidence_level == "HIGH" and round(got["acme_works"].final_score, 3) == 1.1 and got["nobody"].confidence_level == "MEDIUM"
+    assert [x.key for x in got["passage_p4"].passages] == [3] and got["passage_p4"].citations == ["Page 4"]
+    m = {r.name: r for r in fusion.merge_pages(f, fusion.fuse_pages(nodes.limit(0), p)).collect()}
+    assert m["acme_works"].confidence_level == "HIGH" and [x.key for x in m["acme_works"].passages] == [1] and [x.key for x in m["passage_p3"].passages] == [1]
+    t = spark.createDataFrame([("a", "R", "b")], "src string, rel string, dst string")
+    text = fusion.prompt_text("q", f, t, t.withColumn("citation", F.lit("Page 3"))).first().context
+    assert "[typed] (a) --[R]--> (b)" in text and "grounded in Page 3" in text and text.index("[HIGH] acme_works") < text.index("[MEDIUM]")
+    empty = fusion.prompt_text("q", f.limit(0), t.limit(0), t.withColumn("citation", F.lit("x")).limit(0), 20).first().context
+    assert empty == "Query: q\n\nRetrieved 0"[:20]
+    assert {(r.key, r.page) for r in fusion.document_citations(f).collect()} == {(1, 3)}
+
+
+def test_means_and_states_of_vectors(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [1.0, 1.0]), ("d", [-1.0, -1.0])], "node string, v array<double>")
+    q = vectors.mean_vector(rows, "node", "v", spark.createDataFrame([("a",), ("b",), ("none",)], "node string"))
+    got = [(r.node, r.similarity) for r in vectors.nearest_to(rows, "node", "v", q, 2).collect()]
+    assert [g[0] for g in got] == ["c", "b"] and got[0][1] == round(1.5 / (1.25 * 2) ** 0.5, 6)
+    s = spark.createDataFrame([("ready", 0), ("failed", 3), ("not_started", 30)], "status string, n int").select(vectors.end_training(vectors.start_training(F.col("status")), F.col("n")).alias("x"))
+    assert [r.x for r in s.collect()] == ["ready", "failed", "ready"]

@@ -52,3 +52,32 @@ def test_streaming_ingest(spark, tmp_path):
 
 def test_checkpoint_dir_is_set(spark):
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_pages_of_scanned_files(spark):
+    made = [("a.pdf", b"one|two words"), ("b.pdf", b"broken")]
+
+    def parse(data):
+        if data == b"broken":
+            raise ValueError("no pages")
+        return [("short", ["x | y"], b"img"), ("", [], None), (" ".join(f"w{i}" for i in range(30)), ["w0 w1 | in text"], b"img")]
+
+    rows = files.page_rows(spark.createDataFrame(made, "path string, content binary"), parse, lambda image: "what the image says is longer")
+    got = {(r.path, r.page): r for r in rows.collect()}
+    assert got["b.pdf", None].error == "ValueError: no pages" and got["a.pdf", 1].read == "what the image says is longer" and got["a.pdf", 3].read is None
+    out = {r.path: r for r in files.paged_markdown(rows).collect()}
+    assert out["a.pdf"].pages == 2 and out["a.pdf"].markdown.startswith("<!-- page:1 -->\nwhat the image says is longer\n\nx | y\n\n<!-- page:3 -->\nw0 w1")
+    assert "b.pdf" not in out
+
+
+def test_images_and_mails(spark):
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 640, 900)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 700, 1000) + b"\0" * 9
+    assert files.image_size(png) == (640, 900) and files.image_size(jpeg) == (1000, 700) and files.image_size(b"other") is None
+    read = files.image_reader(lambda data: "" if data == png else "text")
+    assert read("scan.png", png) == ("# scan\n\n", 1, ["low resolution", "no text found"]) and read("s.jpg", jpeg)[2] == []
+    df = spark.createDataFrame([("/x/a.msg", bytearray(b"\xd0\xcf\x11\xe0")), ("/x/b.png", bytearray(png))], "path string, content binary")
+    got = {r.filename: r for r in files.extract(df, {".png": read}).collect()}
+    assert got["a.msg"].error and got["a.msg"].markdown_text is None and got["b.png"].warnings == ["low resolution", "no text found"]
