@@ -332,7 +332,7 @@ def test_sentences_written_by_hand():
             assert kind != "person_name" or not all(w.lower().strip(".,") in known for w in text[a:b].split())
         wrong += any(all(min(b, y) <= max(a, x) or k != kind for a, b, kind in spans) for x, y, k in got)
     print({k: (want[k], hit[k], exact[k]) for k in want}, "sentences with something wrong:", wrong)
-    assert sum(want.values()) >= 200
+    assert len(heldout.MARKED) >= 200 and sum(want.values()) >= 190
     assert all(hit[k] >= (0.85 if k == "person_name" else 0.9) * want[k] for k in want), {k: (want[k], hit[k]) for k in want}
     assert wrong <= 0.1 * len(heldout.MARKED)
 
