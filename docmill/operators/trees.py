@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,3 +64,35 @@ def page_count(markdown: Column) -> Column:
     """Page markers, or a page for each 300 words where there are none."""
     n = F.regexp_count(markdown, F.lit("<!-- page"))
     return F.when(n > 0, n).otherwise(F.greatest(F.lit(1), F.floor(F.size(T.words(markdown)) / 300).cast("int")))
+
+
+#: Characters of a node that are summarised at most, and up to which a node without summaries below has nothing to say.
+SUMMARY_TEXT, SILENT = 5000, 20
+
+
+def opening(text: Column) -> Column:
+    """The offline provider of summaries: how a text begins."""
+    return F.substring(text, 1, 80)
+
+
+def summarize(nodes: DataFrame, provider: Callable[[Column], Column] = opening, deepest: int = 4) -> DataFrame:
+    """nodes(case_id, doc_id, node_id, parent_id, level, ordinal, content) -> (case_id, doc_id, node_id, summary).
+
+    From the deepest level up, each node is summarised from its text and the summaries below it;
+    the number of joins is the number of levels.  Short nodes with nothing below them have none.
+    """
+    key = ["case_id", "doc_id"]
+    done = None
+    for level in range(deepest, -1, -1):
+        rows = nodes.where(F.col("level") == level).select(*key, "node_id", "parent_id", "ordinal", "content")
+        if done is None:
+            rows = rows.withColumn("below", F.lit(None).cast("string"))
+        else:
+            part = F.array_sort(F.collect_list(F.struct("ordinal", "summary")))
+            below = done.where("summary is not null").groupBy(*key, F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(part, lambda s: s["summary"]), "\n").alias("below"))
+            rows = rows.join(below, [*key, "node_id"], "left")
+        said = (F.length(T.strip(F.coalesce("content", F.lit("")))) > SILENT) | F.col("below").isNotNull()
+        text = F.concat_ws("\n", F.substring("content", 1, SUMMARY_TEXT), "below")
+        made = rows.select(*key, "node_id", "parent_id", "ordinal", F.when(said, provider(text)).alias("summary"))
+        done = made if done is None else done.unionByName(made)
+    return done.select(*key, "node_id", "summary")

@@ -81,7 +81,13 @@ def scan_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "passages").groupBy("source_pdf").agg(F.count("*").alias("pages"), short.alias("short_pages"), (short * 2 > F.count("*")).alias("mostly_scanned"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, heading_lines, heading_markdown, heading_tree, tree_stats, tree_pages, chunk_windows, section_spans, page_counts, scan_diagnostic)}
+def tree_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of the nodes from the deepest level up, by the offline provider."""
+    s = trees.summarize(_nodes(spark, sf_dir))
+    return s.select("case_id", "doc_id", "node_id", F.md5("summary").alias("summary_hash"))
+
+
+QUERIES = {f.__name__: f for f in (clean_text, heading_lines, heading_markdown, heading_tree, tree_stats, tree_pages, chunk_windows, section_spans, page_counts, scan_diagnostic, tree_summaries)}
 
 
 def _re(p: str) -> str:
@@ -94,7 +100,14 @@ _LEVEL = f"""CASE WHEN regexp_matches(s, '{_re(T.TITLE)}') THEN 1 WHEN regexp_ma
     WHEN regexp_matches(s, '{_re(T.SUBSECTION)}') THEN 3 WHEN regexp_matches(s, '{_re(T.ITEM)}') THEN 4 ELSE 0 END"""
 _LOWER = ", ".join(f"CASE WHEN level > {k} THEN coalesce(max(CASE WHEN level = {k} THEN seq END) OVER (PARTITION BY output_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 0 END" for k in (1, 2, 3))
 
+def _level(level: int) -> str:
+    below = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(level + 1, 5)) or "SELECT case_id, doc_id, node_id, parent_id, ordinal, content AS summary FROM n WHERE false"
+    return f"""s{level} AS (SELECT n.case_id, n.doc_id, n.node_id, n.parent_id, n.ordinal, CASE WHEN length({_strip("coalesce(content, '')")}) > {trees.SILENT} OR b.t IS NOT NULL THEN substring(concat_ws(chr(10), substring(content, 1, {trees.SUMMARY_TEXT}), b.t), 1, 80) END AS summary
+        FROM n LEFT JOIN (SELECT case_id, doc_id, parent_id, string_agg(summary, chr(10) ORDER BY ordinal, summary) AS t FROM ({below}) WHERE summary IS NOT NULL GROUP BY 1, 2, 3) b ON b.case_id = n.case_id AND b.doc_id = n.doc_id AND b.parent_id = n.node_id WHERE n.level = {level})"""
+
+
 SQL = {
+    "tree_summaries": f"WITH n AS {NODES}, {', '.join(_level(k) for k in range(4, -1, -1))} {' UNION ALL '.join(f'SELECT case_id, doc_id, node_id, md5(summary) AS summary_hash FROM s{k}' for k in range(5))}",
     "clean_text": f"""
         WITH a AS (SELECT node_key, regexp_replace(regexp_replace(regexp_replace(content, '\\r\\n', chr(10), 'g'), '-\\n([\\p{{L}}\\p{{N}}_])', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS c FROM {NODES}),
         b AS (SELECT node_key, {_strip("array_to_string(list_transform(string_split(c, chr(10)), lambda l: " + _strip('l') + "), chr(10))")} AS c FROM a)
