@@ -157,6 +157,27 @@ def test_linked(spark):
     assert linking.linked(df.limit(0)).count() == 0
 
 
+def test_names_of_any_script_and_first_letter_meet(spark):
+    """No block on initials: a typo in the first letter still meets; names in other scripts are names."""
+    assert names.parse("Müller GmbH").kind == "firm" and names.parse("Global Widgets Inc").kind == "firm" and names.parse("University of Oxford").kind == "firm"
+    assert names.parse("Иван Петров").kind == "person" and names.parse("12 March 2020").kind == "" and names.parse("Mumbai").kind == ""
+    texts = ["Zuri M Okonkwo", "Suri M Okonkwo", "Иван К Петров", "Иван К Петроф", "Acme 3 Traders Private Limited", "Acmee 3 Traders Pvt Ltd", "Someone Else Entirely"]
+    df = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "candidate_id long, case_id string, text string").selectExpr("*", "1 as entity", "2 as part")
+    assert {tuple(r) for r in linking.linked(df).collect()} == {(0, 1), (2, 3), (4, 5)}
+
+
+def test_closest_is_the_nearest_of_all():
+    rng = random.Random(2)
+    known = sorted(names.BUSINESS)
+    for _ in range(300):
+        w = list(rng.choice(known))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        w = "".join(w)
+        want = min((names.distance(w, x, 2), x) for x in known)
+        assert names.closest(w, names.BUSINESS_MARKS, 2) == (want[1] if want[0] <= 2 else "")
+
+
 # 3: splitting ---------------------------------------------------------------------------------
 
 
