@@ -34,6 +34,8 @@ WINDOW, OVERLAP = 208, 56
 #: Segments tagged together, and remembered at most in a task.
 TOGETHER, REMEMBERED = 8192, 250_000
 BATCH, STRETCH = 512, 4096
+#: Characters x long segments decoded together; a longer one is decoded alone.
+CELLS = 1 << 20
 
 #: To the tagger all digits are alike, so segments that differ in digits are tagged once.
 DIGITS = str.maketrans("123456789", "000000000")
@@ -102,9 +104,20 @@ def tag_segments(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray
                 score, weight = blended.setdefault(k, (np.zeros((len(texts[k]), pii_model.TAGS), dtype=np.float32), np.zeros(len(texts[k]), dtype=np.float32)))
                 score[at : at + n] += e[:n, j] * RAMP[:n, None]
                 weight[at : at + n] += RAMP[:n]
-    for k, (score, weight) in blended.items():
-        tags = pii_model.viterbi((score / weight[:, None])[:, None, :], p["t"])[:, 0]
-        out[k] = tags if tags.any() else None
+    order = sorted(blended, key=lambda k: len(texts[k]))
+    while order:  # long segments of similar length are decoded together
+        width = len(texts[order[min(len(order), BATCH) - 1]])
+        part = order[: max(1, min(BATCH, CELLS // width))]
+        del order[: len(part)]
+        width = len(texts[part[-1]])
+        e = np.full((width, len(part), pii_model.TAGS), -100.0, dtype=np.float32)
+        e[:, :, 0] = 0.0  # beyond the end nothing is tagged
+        for j, k in enumerate(part):
+            score, weight = blended.pop(k)
+            e[: len(texts[k]), j] = score / weight[:, None]
+        tags = np.ascontiguousarray(pii_model.viterbi(e, p["t"]).T)
+        for j in np.flatnonzero(tags.any(axis=1)).tolist():
+            out[part[j]] = tags[j, : len(texts[part[j]])]
     return out
 
 
