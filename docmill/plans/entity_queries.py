@@ -70,23 +70,34 @@ def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence for every pair of names of a page, of all meaningful types: from the first context with both, else the first with either, else the first."""
-    return _evidence(_mentions(spark, sf_dir))
+    needed = table(spark, sf_dir, "entity_mentions").select("mention_id", "case_id", "source_pdf", "source_page", "canonical_name", "schema_type", "text", "context", "loaded_at")
+    return _evidence(E.latest(needed, "mention_id", "loaded_at"))
 
 
 def _evidence(mentions: DataFrame) -> DataFrame:
-    """(case_id, source_pdf, source_page, name_a, name_b, mention_id, sentences), a row for each pair of E.pairs; without a context of the page, sentences is null."""
+    """(case_id, source_pdf, source_page, name_a, name_b, mention_id, sentences), a row for each pair of E.pairs; without a context of the page, sentences is null.
+
+    Names and contexts travel once, by page.  Each name takes its contexts along, so a pair finds
+    its own among those of its two names, and no row of a pair is ever shuffled.
+    """
     chunk = ["case_id", "source_pdf", "source_page"]
-    m = mentions.where("case_id is not null and source_pdf is not null and source_page > 0")
-    p = E.pairs(m, chunk, "canonical_name", "schema_type", "mention_id")
-    texts = m.select("mention_id", F.coalesce("text", "canonical_name").alias("text"))
-    p = p.join(texts.select(F.col("mention_id").alias("seq_a"), F.col("text").alias("a")), "seq_a").join(texts.select(F.col("mention_id").alias("seq_b"), F.col("text").alias("b")), "seq_b")
+    m = mentions.where("case_id is not null and source_pdf is not null and source_page > 0").repartition(*chunk)
+    named = m.where(F.col("schema_type").isin(E.MEANINGFUL) & F.col("canonical_name").isNotNull())
+    # a filter on mention_id would go below the aggregate of the latest rows, which then runs twice
+    first = named.groupBy(*chunk, "canonical_name").agg(F.min(F.when(F.col("mention_id").isNotNull(), F.struct("mention_id", F.coalesce("text", "canonical_name").alias("text")))).alias("f"))
     c = m.where("context is not null").groupBy(*chunk, "context").agg(F.min("mention_id").alias("mention_id"))
-    low = F.lower("context")
-    has_a, has_b = F.contains(low, F.lower("a")), F.contains(low, F.lower("b"))
-    rank = F.when(has_a & has_b, 0).when(has_a | has_b, 1).otherwise(2)
-    j = p.join(c, chunk, "left")
-    best = j.groupBy(*chunk, "name_a", "name_b", "a", "b").agg(F.min(F.struct(rank.alias("rank"), "mention_id", "context")).alias("r"))
-    return best.select("case_id", "source_pdf", F.col("source_page").cast("int").alias("source_page"), "name_a", "name_b", "r.mention_id", F.when(F.col("r.context").isNotNull(), F.array_join(E.shared_sentences(F.col("r.context"), F.col("a"), F.col("b")), " / ")).alias("sentences"))
+    quote = F.struct(F.coalesce("mention_id", F.lit(-(2**63))).alias("at"), "mention_id", "context")
+    on = [F.col(k) == F.col(f"c_{k}") for k in chunk]
+    # what does not quote the name drops out inside the join, before anything is sorted or collected
+    j = first.join(c.select(*[F.col(k).alias(f"c_{k}") for k in chunk], quote.alias("quote")), [*on, F.contains(F.lower("quote.context"), F.lower("f.text"))], "left")
+    known = j.groupBy(*chunk, "canonical_name", "f").agg(F.collect_list("quote").alias("hits")).select(*chunk, F.col("canonical_name").alias("name"), F.col("f.mention_id").alias("seq"), F.col("f.text").alias("text"), "hits")
+    top = c.groupBy(*chunk).agg(F.min(quote).alias("top"))
+    side = lambda x: known.select(*chunk, *[F.col(n).alias(f"{n}_{x}") for n in ("name", "seq", "text", "hits")])
+    p = side("a").join(top, chunk, "left").join(side("b"), chunk).where("seq_a < seq_b and name_a <> name_b")
+    both = F.array_min(F.array_intersect(F.col("hits_a.at"), F.col("hits_b.at")))
+    shared = F.filter("hits_a", lambda h: h["at"] == F.col("both"))
+    best = p.withColumn("both", both).withColumn("r", F.when(F.col("both").isNotNull(), F.get(shared, F.lit(0))).otherwise(F.coalesce(F.least(F.array_min("hits_a"), F.array_min("hits_b")), F.col("top"))))
+    return best.select("case_id", "source_pdf", F.col("source_page").cast("int").alias("source_page"), "name_a", "name_b", "r.mention_id", F.when(F.col("r.context").isNotNull(), F.array_join(E.shared_sentences(F.col("r.context"), F.col("text_a"), F.col("text_b")), " / ")).alias("sentences"))
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:

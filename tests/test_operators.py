@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.operators import entities, fusion, graph, resolution, retrieval, trees, vectors
 from docmill.operators.components import connected_components
+from docmill.plans import entity_queries
 
 
 def one(spark, column, value):
@@ -120,6 +121,20 @@ def test_shared_sentences(spark):
     assert got[1] == ["Nothing here."]
 
 
+def test_pairs_of_a_page_are_not_shuffled(spark):
+    """Evidence is found beside the names of a page; only mentions are ever moved."""
+    rows = [(1, "Ann", "Ann came."), (2, "Bob", "Ann met Bob."), (3, "Cy", None), (4, "Ann", "Bob and Ann sat."), (5, "Dee", "Nobody."), (None, "Bob", None)]
+    m = spark.createDataFrame([(i, "c", "f", 1, n, "Person", n, t) for i, n, t in rows], "mention_id long, case_id string, source_pdf string, source_page int, canonical_name string, schema_type string, text string, context string")
+    df = entity_queries._evidence(m)
+    got = {(r.name_a, r.name_b): (r.mention_id, r.sentences) for r in df.collect()}
+    assert got == {
+        ("Ann", "Bob"): (2, "Ann met Bob."), ("Ann", "Cy"): (1, "Ann came."), ("Ann", "Dee"): (1, "Ann came."),
+        ("Bob", "Cy"): (2, "Ann met Bob."), ("Bob", "Dee"): (2, "Ann met Bob."), ("Cy", "Dee"): (1, "Ann came."),
+    }
+    moved = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert moved and not any("seq_" in x or "name_a" in x for x in moved)
+
+
 def test_first_best_and_latest(spark):
     df = spark.createDataFrame([("k", 0.5, 2, "b"), ("k", 0.5, 1, "a"), ("k", 0.2, 0, "c")], "key string, conf double, seq int, v string")
     assert entities.first_best(df, ["key"], "conf", "seq").first().v == "a"
