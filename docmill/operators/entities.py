@@ -110,10 +110,9 @@ def shared_sentences(text: Column, a: Column, b: Column, k: int = 4) -> Column:
     """Sentences that hold either name up to the first with both, that one with its neighbours, k at most."""
     s = F.split(text, r"(?<=[.!?])\s+")
     low_a, low_b = F.lower(a), F.lower(b)
-    has = F.transform(s, lambda x: F.struct(F.contains(F.lower(x), low_a).alias("a"), F.contains(F.lower(x), low_b).alias("b")))
-    both = F.array_position(F.transform(has, lambda h: h["a"] & h["b"]), F.lit(True)).cast("int")
-    cut = F.when(both > 0, both).otherwise(F.size(s) + 1)
-    before = F.filter(F.transform(s, lambda x, i: F.when((i + 1 < cut) & (has[i]["a"] | has[i]["b"]), x)), lambda x: x.isNotNull())
+    told = F.transform(s, lambda x: F.struct(x.alias("x"), F.contains(F.lower(x), low_a).alias("a"), F.contains(F.lower(x), low_b).alias("b")))
+    both = F.array_position(F.transform(told, lambda h: h["a"] & h["b"]), F.lit(True)).cast("int")
+    before = F.transform(F.filter(F.slice(told, 1, F.when(both > 0, both - 1).otherwise(F.size(s))), lambda h: h["a"] | h["b"]), lambda h: h["x"])
     around = F.when(both > 0, F.slice(s, F.greatest(F.lit(1), both - 1), F.when(both > 1, 3).otherwise(2))).otherwise(F.array().cast("array<string>"))
     found = F.slice(F.concat(before, around), 1, k)
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.substring(text, 1, 300)))
