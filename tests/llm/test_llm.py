@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 from collections import Counter
 
@@ -166,6 +167,18 @@ def test_names_of_any_script_and_first_letter_meet(spark):
     assert {tuple(r) for r in linking.linked(df).collect()} == {(0, 1), (2, 3), (4, 5)}
 
 
+def test_segments_and_names_are_planned_apart(spark, monkeypatch):
+    """The driver plans the pairs of names without the segment join, whose table is gone afterwards."""
+    plans, tables, real, kept = [], [], linking.materialize, linking.stored
+    monkeypatch.setattr(linking, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    monkeypatch.setattr(linking, "stored", lambda df: tables.append(kept(df)) or tables[-1])
+    df = spark.createDataFrame([("c", "John Smithson"), ("c", "Jon Smithson"), ("c", "Mary Carpenter")], "case_id string, text string")
+    entity = {r.text: r.entity for r in linking.entities(df).collect()}
+    assert entity["John Smithson"] == entity["Jon Smithson"] != entity["Mary Carpenter"]
+    assert any("_compatible" in p for p in plans) and not any("_compatible" in p and "seg#" in p for p in plans)
+    assert len(tables) == 1 and not os.path.exists(tables[0][0].inputFiles()[0].removeprefix("file:").replace("///", "/"))
+
+
 def test_closest_is_the_nearest_of_all():
     rng = random.Random(2)
     known = sorted(names.BUSINESS)
