@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +41,8 @@ MIN_SHARE, MIN_DOCS, MAX_SHARE = 0.0005, 3, 0.3
 #: So many times as often in a subject as elsewhere, a term tells of it, however many documents have it.
 TELLING = 3
 PASSES, INNER = 8, 3
-#: Documents worked through at once, so that their part of the matrix stays in the cache.
-AT_ONCE = 256
+#: Documents worked through at once, and entries of documents of similar length, so that their part of the matrix stays in the cache.
+AT_ONCE, ENTRIES = 1024, 16384
 #: Terms of a block of sums, and tasks whose sums are added up first.
 CELL, TEAM = 4096, 32
 #: The passes end when no larger part of the decided terms changes its subject.
@@ -84,7 +83,9 @@ TERMS = {
 
 #: What ends in a full stop without ending a sentence.
 ABBREVIATIONS = set("rs no nos mr mrs ms dr smt shri adv prof hon ltd pvt co v vs exh art sec para st ors inr sri esq capt bros".split())
-ENDS = re.compile(r"[.!?]+[\"')\]]*(?=\s)|\n\s*\n|\n(?=\s*[-*•(#\d])")
+#: So many letters before a full stop are no abbreviation.
+LONG = max(map(len, ABBREVIATIONS)) + 1
+ENDS = re.compile(r"[.!?\n](?:(?<!\n)[.!?]*[\"')\]]*(?=\s)|(?<=\n)(?:\s*\n|(?=\s*[-*•(#\d])))")
 FIRST = re.compile(r"[^\w]*([^\W\d_])[\w'’-]*(?:[^\w]+(?:[^\W_A-ZÀ-ÖØ-Þ]|$)|[^\w]*$)")
 DOTTED = re.compile(r"(?:\w\.)+\w?")
 
@@ -92,13 +93,15 @@ DOTTED = re.compile(r"(?:\w\.)+\w?")
 def sentences(text: str) -> list[str]:
     out, begin = [], 0
     for m in ENDS.finditer(text):
-        end = m.end()
-        if text[m.start()] == ".":
-            word = text[max(begin, m.start() - 24) : m.start()].rsplit(None, 1)[-1:]
-            word = word[0].lower().lstrip("(") if word else ""
-            after = text[end : end + 3].strip()[:1]
-            if word in ABBREVIATIONS or len(word) == 1 and word.isalpha() or after.islower() or DOTTED.fullmatch(word):
+        at, end = m.span()
+        if text[at] == ".":
+            if text[end : end + 3].strip()[:1].islower():
                 continue
+            if at - begin < LONG or not text[at - LONG : at].isalpha():
+                word = text[max(begin, at - 24) : at].rsplit(None, 1)[-1:]
+                word = word[0].lower().lstrip("(") if word else ""
+                if word in ABBREVIATIONS or len(word) == 1 and word.isalpha() or DOTTED.fullmatch(word):
+                    continue
         part = text[begin:end].strip()
         if len(part) > 12 or " " in part:  # a single word counts with what follows
             out.append(part)
@@ -108,41 +111,54 @@ def sentences(text: str) -> list[str]:
 
 
 class Apart(dict):
-    """str.translate: letters, apostrophes and hyphens stay, capitals become a mark, the rest is space."""
+    """What stands for a character beyond ASCII: letters stay, capitals become A, the rest is space."""
 
-    def __missing__(self, code: int) -> str:
-        c = chr(code)
-        self[code] = out = CAPITAL if c.isupper() else c if c.isalpha() or c in "'’-" else " "
+    def __missing__(self, c: str) -> str:
+        self[c] = out = "'" if c == "’" else "A" if c.isupper() else c if c.isalpha() else " "
         return out
 
 
 CAPITAL = "~"
+#: Stands between the sentences of a document while their words are told apart.
+BREAK = "\x01"
 APART = Apart()
-ASCII_APART = bytes(ord(APART[i]) if i < 128 else 32 for i in range(256))
+#: Letters, apostrophes and hyphens stay, capitals become a mark, the rest is space; bytes beyond ASCII belong to letters.
+ASCII_APART = bytes(i if i > 127 or chr(i).islower() or chr(i) in "'-" + BREAK else ord(CAPITAL) if chr(i).isupper() else 32 for i in range(256))
 
 
-def words(sentence: str) -> list[bytes]:
-    """Words in lower case; names are left with a mark instead of their capital."""
+def lowered(sentence: str) -> str:
+    """The sentence with a first word in lower case, unless that is a name: it is one only if the next one has a capital too."""
     if sentence.isupper():
-        sentence = sentence.lower()
-    else:  # the first word is a name only if the next one has a capital too
-        first = FIRST.match(sentence)
-        if first:
-            at = first.start(1)
-            sentence = sentence[at].lower() + sentence[at + 1 :]
-    if sentence.isascii():
-        return sentence.encode().translate(ASCII_APART).split()
-    return sentence.replace("’", "'").translate(APART).encode().split()
+        return sentence.lower()
+    first = FIRST.match(sentence)
+    if not first:
+        return sentence
+    at = first.start(1)
+    return sentence[at].lower() + sentence[at + 1 :]
+
+
+def apart(text: str) -> list[bytes]:
+    """The words of lowered sentences; names are left with a mark instead of their capital."""
+    if not text.isascii():
+        for c in set(text):
+            if c > "\x7f" and APART[c] != c:
+                text = text.replace(c, APART[c])
+    return text.encode().translate(ASCII_APART).split()
+
+
+def words(sentence: str) -> list[bytes]:
+    """Words in lower case, with a mark instead of the capital of names."""
+    return apart(lowered(sentence.replace(BREAK, " ")))
 
 
 class Codes(dict):
-    """A word's number, remembered; it depends on the word alone. Names and short words have none."""
+    """A word's number, remembered; it depends on the word alone. Names and short words have none (-1), nor have breaks (-2)."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
             self.clear()
         bare = word.strip(b"'-")
-        self[word] = code = -1 if len(bare.decode()) < 3 or bare[:1] == CAPITAL.encode() else zlib.crc32(bare) & 0x7FFFFFFF
+        self[word] = code = -2 if word == BREAK.encode() else -1 if len(bare.decode()) < 3 or bare[:1] == CAPITAL.encode() else zlib.crc32(bare) & 0x7FFFFFFF
         return code
 
 
@@ -160,53 +176,103 @@ def code_of(term: str) -> int:
     return int(pair_codes(np.array([codes[first]]), np.array([codes[second]]))[0]) if second else codes[first]
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+CODED = "doc_id long, lang string, codes binary, sizes binary"
+
+
+def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A list of numbers for each row as bytes, which travel and are stored as they are."""
+    ends = np.append(0, np.cumsum(lengths) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _lists(batch: pa.RecordBatch, name: str, kind=np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column made by _packed and their number in each row."""
+    column = batch.column(name)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32, count=len(column) + 1, offset=4 * column.offset) if len(column) else np.zeros(1, dtype=np.int32)
+    values = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(kind) if ends[-1] > ends[0] else np.zeros(0, dtype=kind)
+    return values, np.diff(ends).astype(np.int64) // np.dtype(kind).itemsize
+
+
+def _owners(lengths: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = Codes()
     for batch in batches:
-        rows = []
-        for doc, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"], strict=True):
-            flat: list[int] = []
-            sizes: list[int] = []
-            for s in sentences(text) if text else ():
-                found = [c for c in map(codes.__getitem__, words(s)) if c >= 0]
-                if found:
-                    flat += found
-                    sizes.append(len(found))
-            if sizes:
-                rows.append((doc, lang, np.array(flat, dtype=np.int32), np.array(sizes, dtype=np.int32)))
-        yield pd.DataFrame(rows, columns=["doc_id", "lang", "codes", "sizes"])
+        flat, sizes = [np.zeros(0, dtype=np.int32)], []
+        for text in batch.column("text").to_pylist():
+            told = sentences(text) if text else []
+            if text and BREAK in text:
+                told = [s.replace(BREAK, " ") for s in told]
+            # a break ends each sentence
+            found = apart(f" {BREAK} ".join([*map(lowered, told), ""])) if told else []
+            flat.append(np.fromiter(map(codes.__getitem__, found), dtype=np.int32, count=len(found)))
+            sizes.append(len(told))
+        code = np.concatenate(flat)
+        ended = code == -2
+        sentence, known = np.cumsum(ended) - ended, code >= 0
+        length = np.bincount(sentence[known], minlength=sum(sizes)).astype(np.int32)
+        doc = _owners(np.array(sizes, dtype=np.int64))
+        n_words = np.bincount(doc, weights=length, minlength=batch.num_rows).astype(np.int64)
+        doc, length = doc[length > 0], length[length > 0]
+        made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), _packed(code[known], n_words), _packed(length, np.bincount(doc, minlength=batch.num_rows))], names=["doc_id", "lang", "codes", "sizes"])
+        yield made.filter(pa.array(n_words > 0))
 
 
 def _terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words and pairs of some documents, and the sentence of each, in order of sentences."""
-    one, _ = _lists(batch, "codes")
-    one = one.astype(np.int64)
-    sizes, _ = _lists(batch, "sizes")
-    sentence = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
-    joined = sentence[1:] == sentence[:-1]
-    term = np.concatenate((one, pair_codes(one[:-1][joined], one[1:][joined])))
-    where = np.concatenate((sentence, sentence[1:][joined]))
-    order = np.argsort(where, kind="stable")
-    return term[order], where[order]
+    one = _lists(batch, "codes")[0].astype(np.int64)
+    sentence = _owners(_lists(batch, "sizes")[0])
+    term = np.full(2 * len(one), -1, dtype=np.int64)  # each word and the pair that it begins
+    term[::2] = one
+    joined = np.flatnonzero(sentence[1:] == sentence[:-1])
+    term[1 + 2 * joined] = pair_codes(one[joined], one[joined + 1])
+    there = term >= 0
+    return term[there], np.repeat(sentence, 2)[there]
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(i, 1 << 16) for b in batches for i in range(0, b.num_rows, 1 << 16)):
         term, sentence = _terms(batch)
-        _, doc = _lists(batch, "sizes")
-        owner = doc[sentence]
-        order = np.lexsort((owner, term))
-        term, owner = term[order], owner[order]
-        first = (np.diff(term, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0)
-        term = term[first]
+        owner = _owners(_lists(batch, "sizes")[1])[sentence]
+        both = np.sort(term << 16 | owner)  # terms have 41 bits
+        term = both[np.diff(both, prepend=-1) != 0] >> 16
         begins = np.flatnonzero(np.diff(term, prepend=-1))
         counts = np.diff(np.append(begins, len(term)))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(term[begins], -1)), pa.array(np.append(counts, batch.num_rows))], names=["term", "n"])
 
 
-MATRIX = "doc_id long, lang string, terms array<int>, counts array<int>, ids array<int>, sizes array<int>"
+def place_kind(n_terms: int):
+    """The least type that holds places in the vocabulary."""
+    return np.uint16 if n_terms <= 1 << 16 else np.int32
+
+
+MATRIX = "doc_id long, lang string, terms binary, counts binary, ids binary, sizes binary"
+
+
+def places(vocabulary: np.ndarray):
+    """A function from terms to (their places in the vocabulary, whether they are in it)."""
+    size = 1 << (16 * len(vocabulary)).bit_length()
+    slot, own = vocabulary & (size - 1), np.arange(len(vocabulary), dtype=np.int32)
+    table = np.zeros(size, dtype=np.int32)
+    table[slot] = own
+    lost = np.flatnonzero(table[slot] != own)  # their slots went to others
+    spilt = vocabulary[lost]
+
+    def find(term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = table[term & (size - 1)]
+        hit = vocabulary[at] == term
+        if len(lost):
+            rest = np.flatnonzero(~hit)
+            among = np.minimum(np.searchsorted(spilt, term[rest]), len(lost) - 1)
+            there = spilt[among] == term[rest]
+            at[rest[there]] = lost[among[there]]
+            hit[rest[there]] = True
+        return at, hit
+
+    return find
 
 
 def _known(shared):
@@ -217,81 +283,90 @@ def _known(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        for batch in (b.slice(i, 4 * AT_ONCE) for b in batches for i in range(0, b.num_rows, 4 * AT_ONCE)):
+        find = places(vocabulary)
+        kind = place_kind(len(vocabulary))
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             term, sentence = _terms(batch)
-            at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
-            hit = vocabulary[at] == term
-            at, sentence = at[hit].astype(np.int32), sentence[hit]
-            sizes, doc = _lists(batch, "sizes")
-            in_sentence = np.bincount(sentence, minlength=len(sizes)).astype(np.int32)
+            at, hit = find(term)
+            at, sentence = at[hit], sentence[hit]
+            lengths, n_sentences = _lists(batch, "sizes")
+            doc = _owners(n_sentences)
+            in_sentence = np.bincount(sentence, minlength=len(lengths)).astype(np.int32)
             cell, count = np.unique(doc[sentence] * len(vocabulary) + at, return_counts=True)
-            lists = lambda values, owner, weights=None: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, weights=weights, minlength=batch.num_rows))).astype(np.int32)), pa.array(values.astype(np.int32)))
-            made = [lists(cell % len(vocabulary), cell // len(vocabulary)), lists(count, cell // len(vocabulary)), lists(at, doc, in_sentence), lists(in_sentence, doc)]
+            n_terms = np.bincount(cell // len(vocabulary), minlength=batch.num_rows)
+            n_ids = np.bincount(doc[sentence], minlength=batch.num_rows)
+            made = [_packed((cell % len(vocabulary)).astype(kind), n_terms), _packed(count.astype(np.int32), n_terms), _packed(at.astype(kind), n_ids), _packed(in_sentence, n_sentences)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *made], names=["doc_id", "lang", "terms", "counts", "ids", "sizes"])
 
     return run
 
 
-def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a list column and the row of each."""
-    column = batch.column(name)
-    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def document_factor(h: np.ndarray, terms: np.ndarray, counts: np.ndarray, row: np.ndarray, n: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """(w[k, n], p[k, entries]): the mixture of each document, and what each entry gives to each component.
+def document_factor(h: np.ndarray, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(w[n, k], before[n, k], ratio[entries]): the mixture of each document, the one an update earlier, and each entry's count over what that one expects.
 
-    h[k, entries] is the term factor of the entries; components come before entries, so that
-    every step runs over whole rows of one component.
+    h[k, terms] is the term factor; an entry gives h * before * ratio to each component.
+    Documents of similar length are worked through together, as products of small matrices.
     """
-    k = len(h)
-    w = np.full((k, n), 1.0 / k, dtype=np.float32)
-    starts = np.flatnonzero(np.diff(row, prepend=-1))
-    p = np.zeros_like(h)
-    for _ in range(inner):
-        p = np.take(w, row, axis=1)
-        p *= h
-        p *= counts / (p.sum(axis=0) + np.float32(1e-30))
-        w = np.full((k, n), 0.02, dtype=np.float32)
-        if len(starts):
-            w[:, row[starts]] += np.add.reduceat(p, starts, axis=1)
-        w /= w.sum(axis=0)
-    return w, p
-
-
-def _sums(shared, n_terms: int, inner: int):
-    """Each partition's part of the numerator of the term factor, a row for each term.
+    n, k = len(sizes), len(h)
+    w = np.full((n, k), 1.0 / k, dtype=np.float32)  # a document without terms keeps it
+    before, ratio = w.copy(), np.zeros(len(terms), dtype=np.float32)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    while len(order):
+        part = order[: max(1, ENTRIES // int(sizes[order[0]]))]
+        part = part[: max(1, ENTRIES // int(sizes[part[-1]]))]
+        order = order[len(part) :]
+        length = sizes[part][:, None]
+        place = np.arange(length[-1, 0])
+        inside = place < length
+        at = np.minimum(place, length - 1) + starts[part][:, None]
+        some, count = np.take(h, terms[at], axis=1).transpose(1, 0, 2), counts[at] * inside
+        now = w[part]
+        for _ in range(inner):
+            last = now
+            r = count / (np.matmul(now[:, None, :], some)[:, 0] + np.float32(1e-30))
+            now = now * np.matmul(some, r[:, :, None])[:, :, 0] + np.float32(0.02)
+            now /= now.sum(axis=1, keepdims=True)
+        w[part], before[part], ratio[at[inside]] = now, last, r[inside]
+    return w, before, ratio
+
+
+def _sums(shared, n_terms: int, inner: int, presence: bool = False):
+    """Each partition's part of the numerator of the term factor but for the factor itself, a row for each block of terms.
 
     shared holds the term factor; where it is None the batch brings its document factor along.
+    With presence a term counts once in a document.
     """
+    kind = place_kind(n_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.ascontiguousarray(shared.value.T, dtype=np.float32) if shared is not None else None
         total = None
         for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
-            terms, row = _lists(batch, "terms")
-            counts = _lists(batch, "counts")[0].astype(np.float32)
-            n = batch.num_rows
+            terms, sizes = _lists(batch, "terms", kind)
+            counts = np.ones(len(terms), dtype=np.float32) if presence else _lists(batch, "counts")[0].astype(np.float32)
             if h is None:
-                w = np.array(batch.column("w").to_pylist(), dtype=np.float32).reshape(n, -1).T
-                p = w[:, row] * counts
+                w, ratio = batch.column("w").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(sizes), -1), counts
             else:
-                p = document_factor(np.take(h, terms, axis=1), terms, counts, row, n, inner)[1]
+                _, w, ratio = document_factor(h, terms, counts, sizes, inner)
             order = np.argsort(terms, kind="stable")
             some = terms[order]
-            begins = np.flatnonzero(np.diff(some, prepend=-1))
+            begins = np.flatnonzero(np.diff(some.astype(np.int32), prepend=-1))
+            some = some[begins]
             if total is None:
-                total = np.zeros((n_terms, len(p)))
+                total = np.zeros((w.shape[1], n_terms))
             if len(begins):
-                total[some[begins]] += np.add.reduceat(np.take(p, order, axis=1), begins, axis=1).T
+                ratio, row = ratio[order], _owners(sizes)[order]
+                for j, own in enumerate(np.ascontiguousarray(w.T)):
+                    total[j, some] += np.add.reduceat(np.take(own, row) * ratio, begins)
         if total is not None:
             task = TaskContext.get()
             team = task.partitionId() // TEAM if task else 0
             for block in range(-(-n_terms // CELL)):
-                part = total[block * CELL : (block + 1) * CELL]
+                part = total[:, block * CELL : (block + 1) * CELL].T
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([team], pa.int32()), pa.array([part.astype(np.float32).tobytes()])], names=["block", "team", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([team], pa.int32()), pa.array([part.astype(np.float32, order="C").tobytes()])], names=["block", "team", "part"])
 
     return run
 
@@ -301,15 +376,15 @@ def _added(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": group["block"].iloc[:1], "team": [0], "part": [total.astype(np.float32).tobytes()]})
 
 
-def _gather(rows: DataFrame, shared, n_terms: int, k: int, columns: list[str], inner: int = INNER) -> np.ndarray:
+def _gather(rows: DataFrame, shared, n_terms: int, k: int, columns: list[str], inner: int = INNER, presence: bool = False) -> np.ndarray:
     """Sums over all documents by term: blocks of terms are added up within teams of tasks, then over the teams."""
     kind = "block int, team int, part binary"
-    sums = rows.select(*columns).mapInArrow(_sums(shared, n_terms, inner), kind).groupBy("block", "team").applyInPandas(_added, kind).groupBy("block").applyInPandas(_added, kind).toPandas()  # at most the vocabulary
+    sums = rows.select(*columns).mapInArrow(_sums(shared, n_terms, inner, presence), kind).groupBy("block", "team").applyInPandas(_added, kind).groupBy("block").applyInPandas(_added, kind).toPandas()  # at most the vocabulary
     out = np.zeros((n_terms, k))
     for block, part in zip(sums["block"], sums["part"], strict=True):
         part = np.frombuffer(part, dtype=np.float32).reshape(-1, k)
         out[block * CELL : block * CELL + len(part)] = part
-    return out
+    return out * shared.value if shared is not None else out
 
 
 def _judge(shared, names: list[str], inner: int = INNER):
@@ -324,18 +399,26 @@ def _judge(shared, names: list[str], inner: int = INNER):
         h = np.ascontiguousarray(factor.T, dtype=np.float32)
         said = np.ascontiguousarray(decided.T, dtype=np.float32)
         k = len(names)
+        said *= h[:k]
+        kind = place_kind(h.shape[1])
         for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             n = batch.num_rows
-            terms, row = _lists(batch, "terms")
-            w, _ = document_factor(np.take(h, terms, axis=1), terms, _lists(batch, "counts")[0].astype(np.float32), row, n, inner)
-            ids, _ = _lists(batch, "ids")
-            sizes, doc = _lists(batch, "sizes")
-            sentence = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
-            p = np.take(w**TEMPER, doc[sentence], axis=1)
-            p *= np.take(h, ids, axis=1)
-            p /= p.sum(axis=0) + np.float32(1e-30)
-            p = p[:k] * np.take(said, ids, axis=1)
-            weight = np.stack([np.bincount(sentence, weights=p[j], minlength=len(sizes)) for j in range(k)], axis=1)
+            terms, n_terms = _lists(batch, "terms", kind)
+            w = document_factor(h, terms, _lists(batch, "counts")[0].astype(np.float32), n_terms, inner)[0].T
+            ids, n_ids = _lists(batch, "ids", kind)
+            sizes, n_sentences = _lists(batch, "sizes")
+            doc, owner = _owners(n_sentences), _owners(n_ids)
+            led = w**TEMPER
+            whole = np.full(len(ids), 1e-30, dtype=np.float32)
+            for j, own in enumerate(led):
+                whole += np.take(h[j], ids) * np.take(own, owner)
+            spoken = sizes > 0
+            begins = (np.cumsum(sizes) - sizes)[spoken]
+            weight = np.zeros((k, len(sizes)), dtype=np.float32)
+            for j in range(k if len(begins) else 0):
+                weight[j, spoken] = np.add.reduceat(np.take(said[j], ids) / whole, begins)
+                weight[j] *= led[j, doc]
+            weight = weight.T
             best = weight.argmax(axis=1)
             dealt = np.where(weight[np.arange(len(sizes)), best] >= ENOUGH, best, k)
             counts = np.bincount(doc * (k + 1) + dealt, minlength=n * (k + 1)).reshape(-1, k + 1)
@@ -363,10 +446,10 @@ def telling(inside: np.ndarray, outside: np.ndarray, n_inside: float, n_outside:
 def _differing(coded: DataFrame, frequent: np.ndarray, shares: DataFrame, k: int) -> np.ndarray:
     """Those of the frequent terms that tell of a subject by the labelled documents."""
     context = coded.sparkSession.sparkContext
-    known = coded.join(shares.select("doc_id"), "doc_id", "left_semi").mapInArrow(_known(context.broadcast(frequent)), MATRIX)
-    given = known.join(shares, "doc_id").select("terms", F.transform("terms", lambda t: F.lit(1)).alias("counts"), "w")
-    documents = _gather(given, None, len(frequent), k, ["terms", "counts", "w"])
-    sums = coded.select("doc_id").join(shares, "doc_id").agg(*[F.sum(F.col("w")[j]) for j in range(k)]).first()
+    known = coded.join(F.broadcast(shares.select("doc_id")), "doc_id", "left_semi").mapInArrow(_known(context.broadcast(frequent)), MATRIX)
+    given = known.join(F.broadcast(shares), "doc_id").select("terms", "w")
+    documents = _gather(given, None, len(frequent), k, ["terms", "w"], presence=True)
+    sums = coded.select("doc_id").join(F.broadcast(shares), "doc_id").agg(*[F.sum(F.col("w")[j]) for j in range(k)]).first()
     labelled = np.array([x or 0.0 for x in sums])
     found = np.zeros(len(frequent), dtype=bool)
     for j in range(k):
@@ -381,7 +464,7 @@ def fit(rows: DataFrame, vocabulary: np.ndarray, shares: DataFrame, names: list[
     n, k = len(vocabulary), len(names)
     spoken = [F.when(F.lower("lang") == x, 1.0).otherwise(0.0) for x in LANGUAGES]
     own = F.coalesce("w", F.array(*[F.lit(0.0)] * k))
-    given = rows.join(shares, "doc_id", "left").withColumn("w", F.concat(own, F.array(*spoken, F.lit(1.0))))
+    given = rows.join(F.broadcast(shares), "doc_id", "left").withColumn("w", F.concat(own, F.array(*spoken, F.lit(1.0))))
     both = _gather(given, None, n, k + len(spoken) + 1, ["terms", "counts", "w"])
     labelled, common = both[:, :k], both[:, k:]
     base = common[:, -1] / max(common[:, -1].sum(), 1.0)
@@ -428,7 +511,7 @@ def composition(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFra
     context = docs.sparkSession.sparkContext
     names = sorted(r[0] for r in areas.select("subject_name").where(f"subject_name is not null and subject_name <> '{OTHER}'").distinct().collect())  # a fixed short list
     texts = docs.select("doc_id", "lang", "text").where("doc_id is not null and text is not null")
-    coded, release = stored(texts.mapInPandas(_rows, "doc_id long, lang string, codes array<int>, sizes array<int>"))
+    coded, release = stored(texts.mapInArrow(_rows, CODED))
     counts = materialize(coded.select("codes", "sizes").mapInArrow(_document_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
     n_docs = counts.where("term = -1").agg(F.max("n")).first()[0] or 0
     least = max(MIN_DOCS, int(MIN_SHARE * n_docs))
@@ -437,7 +520,7 @@ def composition(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFra
     kept = counts.where((F.col("term") >= 0) & (F.col("n") >= least)).select("term", usual.alias("usual")).toPandas()  # at most a document's mean terms / MIN_SHARE
     frequent = np.sort(kept["term"][~kept["usual"].astype(bool)].to_numpy(dtype=np.int64))
     vocabulary = kept["term"][kept["usual"].astype(bool)].to_numpy(dtype=np.int64)
-    shares = label_shares(labels, names)
+    shares = materialize(label_shares(labels, names))  # at most LABELS rows, which are broadcast
     if len(frequent):
         vocabulary = np.append(vocabulary, _differing(coded, frequent, shares, len(names)))
     vocabulary = np.sort(vocabulary)

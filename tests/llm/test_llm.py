@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -526,6 +527,56 @@ def test_subjects_of_a_large_share(spark):
     assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
 
 
+def test_document_factor_is_that_of_plain_updates():
+    rng = np.random.default_rng(6)
+    sizes = np.array([3, 0, 17, 1, 400, 5, 0, 30])
+    terms, counts = rng.integers(0, 50, sizes.sum()).astype(np.uint16), rng.integers(1, 5, sizes.sum()).astype(np.float32)
+    h = rng.random((4, 50)).astype(np.float32)
+    w, before, ratio = subjects.document_factor(h, terms, counts, sizes, 3)
+    at = 0
+    for d, n in enumerate(sizes):
+        own, c, now = h[:, terms[at : at + n]], counts[at : at + n], np.full(4, 0.25)
+        for _ in range(3):
+            last, p = now, now[:, None] * own
+            p = p / p.sum(axis=0) * c
+            now = (0.02 + p.sum(axis=1)) / (0.02 + p.sum(axis=1)).sum()
+        assert np.allclose(w[d], now, rtol=1e-4)
+        assert np.allclose(own * before[d][:, None] * ratio[at : at + n], last[:, None] * own / (last[:, None] * own).sum(axis=0) * c, rtol=1e-4)
+        at += n
+
+
+def test_documents_travel_as_bytes():
+    texts = ["The lease was signed. It ended\x01early. Été ’twas No. 4 (Tenant).", "", "12 34", "Rs. 40 paid to shri. Orlov by Bank Ltd. at noon! - then\n\nÉcole fermée"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["en", None, "en", "fr"]), pa.array(texts)], names=["doc_id", "lang", "text"])
+    (made,) = subjects._rows([batch])
+    codes, n_codes = subjects._lists(made, "codes")
+    sizes, n_sizes = subjects._lists(made, "sizes")
+    assert made.column("doc_id").to_pylist() == [1, 4] and all(pa.types.is_binary(made.column(c).type) for c in ("codes", "sizes"))
+    number = subjects.Codes()
+    want = [[[c for w in subjects.words(s) if (c := number[w]) >= 0] for s in subjects.sentences(t)] for t in (texts[0], texts[3])]
+    assert codes.tolist() == [c for d in want for s in d for c in s] and n_codes.tolist() == [sum(map(len, d)) for d in want]
+    assert sizes.tolist() == [len(s) for d in want for s in d if s] and n_sizes.tolist() == [sum(map(bool, d)) for d in want]
+    assert subjects._lists(made.slice(1), "codes")[0].tolist() == [c for s in want[1] for c in s]
+    vocabulary = np.unique(np.concatenate((codes, np.arange(1, 1 << 12) << 20)).astype(np.int64))  # many share a slot
+    at, hit = subjects.places(vocabulary)(np.append(vocabulary, vocabulary + 1))
+    assert hit.tolist() == [True] * len(vocabulary) + np.isin(vocabulary + 1, vocabulary).tolist() and at[: len(vocabulary)].tolist() == list(range(len(vocabulary)))
+
+
+def test_labels_go_to_the_matrix_and_not_the_matrix_to_them(spark, monkeypatch):
+    plans, gather = [], subjects._gather
+    monkeypatch.setattr(subjects, "_gather", lambda rows, *a, **k: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or gather(rows, *a, **k))
+    docs = spark.createDataFrame([(i, "en", f"The tenant left the flat. The lease {'ended' if i % 2 else 'began'} early.") for i in range(60)], "doc_id long, lang string, text string")
+    areas = spark.createDataFrame([("property", "x"), ("tax", "y")], "subject_name string, description string")
+    labels = spark.createDataFrame([(i, i, "property") for i in range(20)], "label_id long, doc_id long, subject_name string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.subject_name for r in subjects.subjects(docs, areas, labels).collect()} == {"property"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert any("BroadcastHashJoin" in p for p in plans) and not any("SortMergeJoin" in p for p in plans)
+
+
 def test_nothing_outside_imports_this_subpackage():
     from pathlib import Path
 
