@@ -123,7 +123,7 @@ def _run(x: np.ndarray, table: np.ndarray, rec: np.ndarray, keep: bool):
 
 
 def ready(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Weights for reading: digits alike, the gates' slope and offset taken into the weights."""
+    """Weights for reading: digits alike, the gates' slope and offset taken into the weights, gate by gate."""
     out = dict(p)
     n = p["hf"].shape[0]
     digits = slice(ord("0") - 24, ord("9") - 23)
@@ -132,65 +132,133 @@ def ready(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         table[digits] = table[digits].mean(axis=0)
         table[:, : 3 * n] = table[:, : 3 * n] * 0.25 + 0.5
         rec[:, : 3 * n] *= 0.25
-        out[f"x{d}"], out[f"h{d}"] = np.ascontiguousarray(table), np.ascontiguousarray(rec)
+        for key, w in ((f"x{d}", table), (f"h{d}", rec)):
+            out[key] = np.ascontiguousarray(w.reshape(len(w), 4, n).transpose(1, 0, 2))
     return out
 
 
-def _read(x: np.ndarray, table: np.ndarray, rec: np.ndarray, out: np.ndarray, back: bool) -> None:
-    """The pass of _run with weights from ready, from the last step to the first with back."""
+def _read(x: np.ndarray, table: np.ndarray, rec: np.ndarray, part: np.ndarray, e: np.ndarray, back: bool) -> None:
+    """The pass of _run with weights from ready, from the last step to the first with back; what it says by part is added to e.
+
+    Each gate is an array of its own, so that every operation runs over whole arrays.
+    """
     steps, batch = x.shape
-    n = rec.shape[0]
-    z, own, c, t = (np.zeros((batch, k * n), dtype=np.float32) for k in (4, 4, 1, 1))
-    h = np.zeros((batch, n), dtype=np.float32)
-    gates, cell, i, f, o = z[:, : 3 * n], z[:, 3 * n :], z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n]
+    n = rec.shape[1]
+    z, own = (np.zeros((4, batch, n), dtype=np.float32) for _ in range(2))
+    h, c = (np.zeros((batch, n), dtype=np.float32) for _ in range(2))
+    said = np.empty((part.shape[1], batch), dtype=np.float32)
+    gates, (i, f, o, cell) = z[:3], z
     for s in range(steps - 1, -1, -1) if back else range(steps):
         np.matmul(h, rec, out=z)
-        z += np.take(table, x[s], axis=0, out=own, mode="clip")
+        z += table.take(x[s], axis=1, out=own, mode="clip")
         _clip(gates, 0.0, 1.0, out=gates)
         _clip(cell, -1.0, 1.0, out=cell)
         c *= f
         cell *= i
         c += cell
-        _clip(c, -1.0, 1.0, out=t)
-        h = np.multiply(o, t, out=out[s])
+        _clip(c, -1.0, 1.0, out=h)
+        h *= o
+        e[s] += np.matmul(part.T, h.T, out=said)
 
 
 def emissions(x: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    """x[T, B] -> scores[T, B, TAGS], with weights from ready."""
-    n = p["hf"].shape[0]
-    h = np.empty((*x.shape, n), dtype=np.float32)
-    _read(x, p["xf"], p["hf"], h, False)
-    e = h @ p["o"][:n]
-    _read(x, p["xb"], p["hb"], h, True)
-    e += h @ p["o"][n:]
-    e += p["ob"]
-    return e
+    """x[T, B] -> scores[T, B, TAGS], with weights from ready; in memory tags come before columns."""
+    n = len(p["o"]) // 2
+    e = np.empty((len(x), TAGS, x.shape[1]), dtype=np.float32)
+    e[:] = p["ob"][:, None]
+    _read(x, p["xf"], p["hf"], p["o"][:n], e, False)
+    _read(x, p["xb"], p["hb"], p["o"][n:], e, True)
+    return e.transpose(0, 2, 1)
 
 
-def viterbi(e: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The best tags[T, B]; columns in which the rest wins by so much that no run can pay are left out."""
+#: Places x stretches decoded together.
+PLACES = 1 << 15
+
+
+def stretches(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, begin, end) of the places that a run of tags may hold; elsewhere the rest is best, whatever stands beside it.
+
+    A run gains at most the sum of what the best tag has over the rest at its places, and
+    what staying in tags may add, less what entering and leaving cost; a run from the first
+    place need not enter, and one to the last need not leave.
+    """
     steps, batch, k = e.shape
-    tags = np.zeros((steps, batch), dtype=np.uint8)
-    rival = np.maximum(e[:, :, 1], e[:, :, 2])
+    gain = np.maximum(e[:, :, 1], e[:, :, 2])
     for j in range(3, k):
-        np.maximum(rival, e[:, :, j], out=rival)
-    gap = e[:, :, 0] - rival
-    reach = 2 * max(0.0, float(t.max() - t[0, 0]))
-    live = np.flatnonzero(gap.min(axis=0) < reach)
-    if not len(live):
-        return tags
-    e = np.ascontiguousarray(e[:, live].transpose(0, 2, 1))  # tags before columns: each maximum runs over whole rows
-    score = np.empty_like(e)
-    score[0] = e[0]
-    across = np.ascontiguousarray(t)[:, :, None]
+        np.maximum(gain, e[:, :, j], out=gain)
+    gain -= e[:, :, 0]
+    stay, enter, leave = max(0.0, float(t[1:, 1:].max() - t[0, 0])), float(t[0, 0] - t[0, 1:].max()), float(t[0, 0] - t[1:, 0].max())
+    gain += stay
+    gain[0] += enter
+    gain[-1] += leave
+    most = gain.copy()  # of the runs that end at a place, then of all that hold it
     for s in range(1, steps):
-        np.max(score[s - 1][:, None, :] + across, axis=0, out=score[s])
-        score[s] += e[s]
-    best = score[-1].argmax(axis=0)
-    tags[-1, live] = best
+        most[s] += np.maximum(most[s - 1], 0.0)
+    live = np.flatnonzero(most.max(axis=0) > stay + enter + leave - 1e-3)
+    gain, most = gain[:, live], most[:, live]
+    after = np.zeros(len(live), dtype=np.float32)
     for s in range(steps - 2, -1, -1):
-        best = (score[s] + t[:, best]).argmax(axis=0)
-        tags[s, live] = best
+        after += gain[s + 1]
+        np.maximum(after, 0.0, out=after)
+        most[s] += after
+    edges = np.zeros((len(live), steps + 2), dtype=np.int8)
+    edges[:, 1:-1] = (most > stay + enter + leave - 1e-3).T
+    edges = np.diff(edges, axis=1)
+    column, begin = np.nonzero(edges == 1)
+    return live[column], begin, np.nonzero(edges == -1)[1]
+
+
+def decoded(values: np.ndarray, length: np.ndarray, first: np.ndarray, last: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The best tags of stretches, one after the other: of their scores values[places, TAGS] and lengths, where some are the first or the last of their text.
+
+    Stretches of similar length are decoded together.
+    """
+    k = values.shape[1]
+    tags = np.zeros(len(values), dtype=np.uint8)
+    starts = np.cumsum(length) - length
+    order = np.argsort(length, kind="stable")
+    across = np.ascontiguousarray(t)[:, :, None]
+    while len(order):
+        part = order[: max(1, PLACES // int(length[order[0]]))]
+        part = part[: max(1, PLACES // int(length[part[-1]]))]
+        order = order[len(part) :]
+        n = length[part]
+        place = np.arange(n[-1] + 1)[:, None]  # the rest stands before a stretch and after it
+        at = np.minimum(place, n - 1) + starts[part]
+        inside = place < n
+        x = np.ascontiguousarray(values[at].transpose(0, 2, 1))  # tags before columns: each maximum runs over whole rows
+        x[:, 0][~inside] = 0.0
+        for j in range(1, k):
+            x[:, j][~inside] = -1e6
+        x[0] += np.where(first[part], np.float32(0.0), t[0][:, None])
+        ends = np.flatnonzero(last[part])
+        x[n[ends] - 1, :, ends] -= t[:, 0]  # nothing comes after
+        score = np.empty_like(x)
+        score[0] = x[0]
+        for s in range(1, len(x)):
+            np.maximum.reduce(score[s - 1][:, None, :] + across, axis=0, out=score[s])
+            score[s] += x[s]
+        best = np.zeros(len(part), dtype=np.int64)
+        path = np.zeros(at.shape, dtype=np.uint8)
+        for s in range(len(x) - 2, -1, -1):
+            best = (score[s] + t[:, best]).argmax(axis=0)
+            path[s] = best
+        tags[at[inside]] = path[inside]
+    return tags
+
+
+def places(column: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(step, column) of each place of stretches, one after the other."""
+    length = end - begin
+    return np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - begin, length), np.repeat(column, length)
+
+
+def viterbi(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The best tags[T, B]; only stretches are decoded."""
+    tags = np.zeros(e.shape[:2], dtype=np.uint8)
+    column, begin, end = stretches(e, t)
+    at = places(column, begin, end)
+    tags[at] = decoded(e[at], end - begin, begin == 0, end == len(e), t)
     return tags
 
 

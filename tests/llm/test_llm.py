@@ -311,6 +311,43 @@ def test_gradient_and_viterbi():
         assert tuple(tags[:, b]) == best
 
 
+def test_best_tags_are_those_of_all_paths():
+    """With the transitions that are shipped, runs within, at either end and over the whole; what cannot gain is not decoded."""
+    rng = np.random.default_rng(8)
+    t, k, steps = pii.weights()["t"], pii_model.TAGS, 4
+    paths = np.array(list(itertools.product(range(k), repeat=steps)))
+    e = rng.normal(0, 5, (steps, 400, k)).astype(np.float32)
+    e[:, :, 0] += rng.normal(0, 4, 400).astype(np.float32)
+    tags = pii_model.viterbi(e, t)
+    value = sum(e[i][:, paths[:, i]] for i in range(steps)) + sum(t[paths[:, i], paths[:, i + 1]] for i in range(steps - 1))
+    got = sum(e[i, np.arange(400), tags[i]] for i in range(steps)) + sum(t[tags[i], tags[i + 1]] for i in range(steps - 1))
+    assert np.allclose(got, value.max(axis=1), atol=1e-4)
+    assert any(a > 0 and b == 0 for a, b in tags[[0, -1]].T) and any(a == 0 and b > 0 for a, b in tags[[0, -1]].T) and (tags == 0).all(axis=0).any() and (tags > 0).all(axis=0).any()
+    e = np.zeros((30, 50, k), dtype=np.float32)
+    e[:, :, 0] = 1.0
+    e[10, :, 2] = 2.0  # beats the rest in one place, less than it costs to enter and leave
+    e[5:20, 7, 3] = 9.0
+    column, begin, end = pii_model.stretches(e, t)
+    assert column.tolist() == [7] and begin[0] <= 5 and end[0] >= 20
+    assert np.flatnonzero(pii_model.viterbi(e, t).any(axis=0)).tolist() == [7]
+
+
+def test_reading_is_the_trained_network():
+    p, n = pii_model.fresh(5), 5
+    x = np.random.default_rng(9).integers(60, 100, (20, 7)).astype(np.uint8)  # no digits, which reading takes as alike
+    forward, _ = pii_model._run(x, p["xf"], p["hf"], False)
+    backward, _ = pii_model._run(x[::-1], p["xb"], p["hb"], False)
+    ready = pii_model.ready(p)
+    assert all(ready[key].shape[0] == 4 and ready[key].flags.c_contiguous for key in ("xf", "xb", "hf", "hb"))  # each gate apart
+    assert np.allclose(pii_model.emissions(x, ready), forward @ p["o"][:n] + backward[::-1] @ p["o"][n:] + p["ob"], atol=1e-4)
+
+
+def test_masked_texts_and_segments():
+    text = "Été 2019, no. 12-34. The lease ended. 7 Capt. Orlov came. Prof. Brook left. He wrote .  No"
+    assert pii.masked(text) == text.translate(pii.DIGITS)
+    assert [text[a:b] for a, b in pii.segments(text)] == ["Été 2019, no. 12-34. The lease ended. 7 Capt. Orlov came.", "Prof. Brook left.", "He wrote .  No"]
+
+
 CASES = [
     ("Please write to anna.brook77@quillmail.example and not to the old address.", {"email"}),
     ("She could be reached on +44 20 7946 0127 until 2014.", {"phone"}),
